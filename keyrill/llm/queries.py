@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyrill.llm import lines, pieces, simhash, warc
+from keyrill.llm import decontaminate, extract, language_model, lines, passages, pieces, quality, simhash, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -51,6 +51,31 @@ def op3_sentencepiece(spark, sf_dir):
     return digests(pieces.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
 
 
+@query()
+def op4_embedding_near_dedup(spark, sf_dir):
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op5_language_model(spark, sf_dir):
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_decontamination(spark, sf_dir):
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op7_html_extraction(spark, sf_dir):
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op8_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents")).select("doc_id", "quality", "accepted")
+
+
 LINE_SQL = """
 WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
 b AS (SELECT trim(line, ' ') AS bare, min(doc_id) AS keeper FROM l WHERE length(trim(line, ' ')) >= 20 GROUP BY 1 HAVING count(DISTINCT source) >= 8),
@@ -62,3 +87,8 @@ SELECT doc_id, coalesce(text, '') AS text, n_removed FROM k
 @query(LINE_SQL)
 def op9_line_dedup(spark, sf_dir):
     return lines.remove_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
+
+
+@query()
+def op10_substring_dedup(spark, sf_dir):
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
