@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,24 @@ class Vocabulary:
         return self.groups[group_of(word)] if s is None else s
 
 
+class Lookup:
+    """Arrays over the frequent words, so that a text costs one dictionary look a word."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab, self.at = vocab, {w: i for i, w in enumerate(vocab.head)}
+        # the last entry is for words that are not there
+        self.symbol = np.array([vocab.symbol(w) if w else 0 for w in vocab.head] + [0], np.int32)
+        self.log = np.log10(np.array([*vocab.head.values(), 0.5]) + 0.5)
+        self.share = np.where(self.symbol < len(vocab.symbols), 0.0, self.log - vocab.weight[np.maximum(self.symbol - len(vocab.symbols), 0)])
+
+    def __call__(self, toks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols, places in the arrays, and where words are not among the frequent ones."""
+        place = np.fromiter(map(self.at.get, toks, repeat(-1)), np.int32, len(toks))
+        symbols, rare = self.symbol[place], np.flatnonzero(place < 0)
+        symbols[rare] = [self.vocab.symbol(toks[j]) for j in rare]
+        return symbols, place, rare
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """word, n of training documents (text, held_out), END among them; partial counts first."""
 
@@ -174,15 +193,16 @@ class Network:
 
     def log_probability(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithms."""
-        logits = h @ self.p["wc"] + self.p["bc"]
-        top = logits.max(1)
-        out = logits[np.arange(len(h)), self.cls[target]] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+        out = self.own_log(h @ self.p["wc"] + self.p["bc"], self.cls[target])
         for c, at in self.by_class(target):
-            logits = h[at] @ self.p["w"][c] + self.p["b"][c]
-            top = logits.max(1)
-            out[at] += logits[np.arange(len(at)), self.slot[target[at]]] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+            out[at] += self.own_log(h[at] @ self.p["w"][c] + self.p["b"][c], self.slot[target[at]])
         return out
 
+    def own_log(self, logits: np.ndarray, target: np.ndarray) -> np.ndarray:
+        # states lie within -1 and 1 and weights are small: logits stay far below 80, where float32 would overflow
+        np.clip(logits, -80, 80, out=logits)
+        return logits[np.arange(len(logits)), target] - np.log(np.exp(logits) @ np.ones(logits.shape[1], logits.dtype))
+
     def gradients(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
         """Loss, gradients and the last state of one window (steps, streams); none flows before it."""
         p, d, steps = self.p, HIDDEN, []
@@ -284,15 +304,15 @@ def train(docs: DataFrame, words: Vocabulary, every: int = EVERY, rounds: int =
             vocab, values = shipped.value
             own = Network(vocab.order)
             own.load(values)
-            trainer, end, size = Trainer(own), vocab.symbols[END], WINDOW * WINDOWS
+            trainer, look, end, size = Trainer(own), Lookup(vocab), vocab.symbols[END], WINDOW * WINDOWS
             for batch in batches:
                 for t in batch.column("text").cast(pa.binary()):
                     text = t.as_py()
                     toks, mark = tokens(text), zlib.crc32(text)
                     for at in range(0, len(toks) + 1, size):
                         if (mark + turn + at // size * 7) % every == 0:
-                            part = [vocab.symbol(w) for w in toks[at : at + size]] + [end] * (at + size > len(toks))
-                            trainer.add(np.array(part), vocab.symbol(toks[at - 1]) if at else end)
+                            part = look(toks[at : at + size])[0]
+                            trainer.add(np.append(part, end) if at + size > len(toks) else part, vocab.symbol(toks[at - 1]) if at else end)
             trainer.run()
             if trainer.tokens:
                 yield pa.RecordBatch.from_arrays([pa.array([trainer.tokens], pa.int64()), pa.array([own.flat().tolist()], pa.list_(pa.float32()))], ["seen", "weights"])
@@ -353,8 +373,7 @@ def score_documents(rows: DataFrame, doc_id: str = "doc_id", text: str = "text",
         vocab, values = shipped.value
         own = Network(vocab.order)
         own.load(values)
-        end, known, groups, weight = vocab.symbols[END], vocab.symbols, vocab.groups, vocab.weight
-        logs = {w: math.log10(c + 0.5) for w, c in vocab.head.items()}
+        look, end = Lookup(vocab), vocab.symbols[END]
         end_log, base, serial = math.log10(vocab.head.get(END, 0) + 0.5), int.from_bytes(os.urandom(8), "big", signed=True), 0
         ids, held, facts, rare, numbers, room = [], [], [], [], [], 0
 
@@ -371,25 +390,15 @@ def score_documents(rows: DataFrame, doc_id: str = "doc_id", text: str = "text",
             id_kind = batch.schema.field("doc_id").type
             for i, t, h in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("held_out").to_pylist(), strict=True):
                 toks = tokens(t.as_py())
-                nums, tail, total, rest = np.empty(len(toks) + 1, np.int32), Counter(), end_log, 0.0
-                for j, w in enumerate(toks):
-                    s, c = known.get(w), logs.get(w)
-                    if c is None:
-                        tail[w] += 1
-                        c = 0.0
-                    total += c
-                    if s is None:
-                        g = group_of(w)
-                        s = groups[g]
-                        rest += c - weight[g]
-                    nums[j] = s
-                nums[-1] = end
+                nums, place, missing = look(toks)
+                tail = Counter(toks[j] for j in missing)
+                rest = look.share[place].sum() - vocab.weight[nums[missing] - len(vocab.symbols)].sum()
                 ids.append(i)
                 held.append(h)
-                facts.append((len(toks) + 1, len(toks) - sum(tail.values()) + (END in vocab.head), total, rest))
+                facts.append((len(toks) + 1, len(toks) - len(missing) + (END in vocab.head), float(look.log[place].sum()) + end_log, float(rest)))
                 rare.append(tail)
-                numbers.append(nums)
-                room += len(nums)
+                numbers.append(np.append(nums, np.int32(end)))
+                room += len(numbers[-1])
                 if room >= TOKENS:
                     yield out()
                     serial += len(ids)
