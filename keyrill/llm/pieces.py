@@ -17,7 +17,7 @@ MARK = "▁"
 #: Chunks: a run of markers with what follows up to the next marker or line end, or a line end.
 CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}\n]*|[^ {MARK}\n]+|\n")
 #: Distinct chunks that a worker's table holds before it starts anew.
-TABLE = 400_000
+TABLE = 150_000
 ROWS = 256
 
 
