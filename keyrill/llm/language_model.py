@@ -8,10 +8,12 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ HEAD = 131_072
 KNOWN = 1000
 HIDDEN, CLASS = 24, 32
 #: Steps of truncated backpropagation, windows of a training segment, segments trained together.
-WINDOW, WINDOWS, STREAMS = 16, 4, 96
+WINDOW, WINDOWS, STREAMS = 16, 4, 160
 #: One in so many segments of a document trains in each round, chosen by a hash.
 EVERY, ROUNDS, RATE = 6, 2, 0.01
 #: Tokens scored together, and steps whose states are held at once.
@@ -67,6 +69,11 @@ class Vocabulary:
     total: int
     distinct: int
 
+    @cached_property
+    def lookup(self) -> Lookup:
+        """Made once in each worker that holds the broadcast."""
+        return Lookup(self)
+
     def symbol(self, word: bytes) -> int:
         s = self.symbols.get(word)
         return self.groups[group_of(word)] if s is None else s
@@ -103,7 +110,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             for t in batch.column("text").cast(pa.binary()):
                 seen.update(tokens(t.as_py()))
                 seen[END] += 1
-                if len(seen) > 200_000:
+                if len(seen) > 400_000:
                     yield out()
                     seen.clear()
         if seen:
@@ -198,6 +205,10 @@ class Network:
             out[at] += self.own_log(h[at] @ self.p["w"][c] + self.p["b"][c], self.slot[target[at]])
         return out
 
+    def softmax(self, logits: np.ndarray) -> np.ndarray:
+        e = np.exp(np.clip(logits, -80, 80))
+        return e / (e @ np.ones((e.shape[1], 1), e.dtype))
+
     def own_log(self, logits: np.ndarray, target: np.ndarray) -> np.ndarray:
         # states lie within -1 and 1 and weights are small: logits stay far below 80, where float32 would overflow
         np.clip(logits, -80, 80, out=logits)
@@ -216,18 +227,14 @@ class Network:
         live = np.flatnonzero(mask.reshape(-1))
         out, target = hs.reshape(-1, d)[live], y.reshape(-1)[live]
         n = max(1, len(live))
-        logits = out @ p["wc"] + p["bc"]
-        e = np.exp(logits - logits.max(1, keepdims=True))
-        e /= e.sum(1, keepdims=True)
+        e = self.softmax(out @ p["wc"] + p["bc"])
         rows = np.arange(len(live))
         loss = -np.log(e[rows, self.cls[target]] + 1e-30).sum()
         e[rows, self.cls[target]] -= 1
         grad = {k: np.zeros_like(v) for k, v in p.items() if k != "e"}
         grad["wc"], grad["bc"], back = out.T @ e, e.sum(0), e @ p["wc"].T
         for c, at in self.by_class(target):
-            logits = out[at] @ p["w"][c] + p["b"][c]
-            s = np.exp(logits - logits.max(1, keepdims=True))
-            s /= s.sum(1, keepdims=True)
+            s = self.softmax(out[at] @ p["w"][c] + p["b"][c])
             own = np.arange(len(at))
             loss -= np.log(s[own, self.slot[target[at]]] + 1e-30).sum()
             s[own, self.slot[target[at]]] -= 1
@@ -249,8 +256,10 @@ class Network:
             grad["u"] += before.T @ dg
             grad["bu"] += dg.sum(0)
             dh = np.where(keep, dn * z + dg @ p["u"].T, dh)
+        rows, order = x.reshape(-1), np.argsort(x.reshape(-1), kind="stable")
+        heads = np.flatnonzero(np.diff(rows[order], prepend=-1))
         grad["e"] = np.zeros_like(p["e"])
-        np.add.at(grad["e"], x.reshape(-1), da.reshape(-1, 3 * d))
+        grad["e"][rows[order[heads]]] = np.add.reduceat(da.reshape(-1, 3 * d)[order], heads, axis=0)
         return float(loss), {k: np.clip(v / n, -1, 1) for k, v in grad.items()}, h
 
 
@@ -289,22 +298,22 @@ class Trainer:
         self.waiting = []
 
 
-def train(docs: DataFrame, words: Vocabulary, every: int = EVERY, rounds: int = ROUNDS) -> Network:
+def train(docs: DataFrame, words: Broadcast, every: int = EVERY, rounds: int = ROUNDS) -> Network:
     """Rounds of local training on all training documents, weights averaged between them.
 
     Each task trains a copy on one in `every` segments of each of its
     documents, whatever their number; Spark sums the copies' weights, each by
     the tokens it saw, and one weight vector reaches the driver.
     """
-    net, sc = Network(words.order), docs.sparkSession.sparkContext
+    net, sc = Network(words.value.order), docs.sparkSession.sparkContext
     for turn in range(rounds):
-        shipped = sc.broadcast((words, net.flat()))
+        weights = sc.broadcast(net.flat())
 
-        def each(batches: Iterable[pa.RecordBatch], shipped=shipped, turn=turn) -> Iterator[pa.RecordBatch]:
-            vocab, values = shipped.value
+        def each(batches: Iterable[pa.RecordBatch], weights=weights, turn=turn) -> Iterator[pa.RecordBatch]:
+            vocab = words.value
             own = Network(vocab.order)
-            own.load(values)
-            trainer, look, end, size = Trainer(own), Lookup(vocab), vocab.symbols[END], WINDOW * WINDOWS
+            own.load(weights.value)
+            trainer, look, end, size = Trainer(own), vocab.lookup, vocab.symbols[END], WINDOW * WINDOWS
             for batch in batches:
                 for t in batch.column("text").cast(pa.binary()):
                     text = t.as_py()
@@ -364,16 +373,16 @@ def score_documents(rows: DataFrame, doc_id: str = "doc_id", text: str = "text",
     fold = F.crc32(F.col("doc_id").cast("string")) % folds
     docs = columns(rows, doc_id=doc_id, text=text).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(fold == held_fold, F.lit(True)).alias("held_out"))
     counts = cut(count_words(docs), "word-counts")
-    words = vocabulary(counts, head)
-    net = train(docs, words, every, rounds)
     sc = docs.sparkSession.sparkContext
-    shipped = sc.broadcast((words, net.flat()))
+    words = vocabulary(counts, head)
+    shipped = sc.broadcast(words)
+    weights = sc.broadcast(train(docs, shipped, every, rounds).flat())
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, values = shipped.value
+        vocab = shipped.value
         own = Network(vocab.order)
-        own.load(values)
-        look, end = Lookup(vocab), vocab.symbols[END]
+        own.load(weights.value)
+        look, end = vocab.lookup, vocab.symbols[END]
         end_log, base, serial = math.log10(vocab.head.get(END, 0) + 0.5), int.from_bytes(os.urandom(8), "big", signed=True), 0
         ids, held, facts, rare, numbers, room = [], [], [], [], [], 0
 
