@@ -114,9 +114,10 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     rows = columns(pages, page_id=page_id, url=url, html=html)
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = rows.withColumn("sha", F.sha1(body)).withColumn("size", F.octet_length(F.coalesce("html", F.lit(""))).cast("long"))
-    firsts = rows.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
-    rows = rows.join(firsts, "sha")
-    lone = (F.col("copies") == 1) | (F.col("size") < min_bytes) | F.col("first_id").isNull() | (F.col("page_id").eqNullSafe(F.col("first_id")))
+    # a table of repeated payloads alone: Spark knows its size and broadcasts it only if that is small
+    firsts = rows.where(F.col("size") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
+    rows = rows.join(cut(firsts.where("copies > 1").drop("copies"), "payloads"), "sha", "left")
+    lone = F.col("first_id").isNull() | (F.col("page_id").eqNullSafe(F.col("first_id")))
     rows = rows.select("page_id", "url", "sha", "size", F.when(lone, F.coalesce("html", F.lit(""))).alias("html"), F.when(~lone, F.col("first_id")).alias("refers_to"))
     folder = new_path(spark, "warc")
 
