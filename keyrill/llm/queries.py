@@ -28,9 +28,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query()
+#: Five hex digits are four base32 digits.
+WARC_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+f AS (SELECT hex, min(page_id) AS lead FROM p GROUP BY hex)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS INTEGER), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS INTEGER), 1)), '') AS payload_digest,
+CASE WHEN page_id = lead THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> lead THEN lead END AS refers_to
+FROM p JOIN f USING (hex)
+"""
+
+
+@query(WARC_SQL)
 def op1_warc(spark, sf_dir):
-    """Writes the pages to archives and reads those back; the SQL tool has no base32."""
+    """Writes the pages to archives and reads those back."""
     archives = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.read_archives(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -51,7 +62,17 @@ def op3_sentencepiece(spark, sf_dir):
     return digests(pieces.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
 
 
-@query()
+VECTOR_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+k AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT u, w AS reached FROM k UNION SELECT r.u, k.w FROM r JOIN k ON r.reached = k.u),
+c AS (SELECT u, min(reached) AS low FROM r GROUP BY u), n AS (SELECT u, count(*) AS n FROM k GROUP BY u)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings LEFT JOIN n ON vec_id = n.u LEFT JOIN c ON vec_id = c.u
+"""
+
+
+@query(VECTOR_SQL)
 def op4_embedding_near_dedup(spark, sf_dir):
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 

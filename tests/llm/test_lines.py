@@ -1,8 +1,7 @@
 from pyspark.sql import functions as F
 
 from keyrill.llm import lines
-from keyrill.llm.queries import QUERIES, SQL
-from tests.oracle import SF, rows_of, rows_of_sql
+from tests.oracle import SF, rows_of
 
 LINE = "a line that every site prints somewhere"
 
@@ -12,10 +11,6 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("hash", F.lit("clash"))
 
 
-def test_query_matches_sql(spark):
-    assert rows_of(QUERIES["op9_line_dedup"](spark, SF)) == rows_of_sql(SQL["op9_line_dedup"])
-
-
 def test_both_ways_agree(spark):
     for sf in (None, SF):
         df = docs(spark) if sf is None else spark.read.parquet(f"{sf}/documents.parquet")
