@@ -124,8 +124,8 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> np.ndarray
     """The scorer's weights for these documents.
 
     Vote patterns (at most 729) are counted over all documents. The scorer
-    learns from about `sample` of them, chosen by a hash of their text; it
-    sees their posterior and no label of a person. Null texts count as empty.
+    learns from about `sample` of them, different texts chosen by their hash;
+    it sees their posterior and no label of a person. Null texts count as empty.
     """
     rows = docs.select(F.coalesce(docs[text], F.lit("")).alias("text"))
 
@@ -139,7 +139,9 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> np.ndarray
     patterns = {tuple(r["pattern"]): r["n"] for r in counted}
     _, _, good = label_model(patterns)
     share = min(1.0, sample / max(1, sum(patterns.values())))
-    chosen = rows.where(F.xxhash64("text", F.lit("sample")) <= int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else F.lit(True)).limit(4 * sample)
+    chosen = rows.where(F.xxhash64("text", F.lit("sample")) <= int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else F.lit(True))
+    # copies of one text count once, so that a large group of them can't fill the sample
+    chosen = chosen.distinct().limit(4 * sample)
 
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

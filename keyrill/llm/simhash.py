@@ -97,6 +97,7 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The documents without all but one of each component: the row with its least doc_id.
 
     Repeated rows with that doc_id count as one document; one of them stays.
+    Rows with a null doc_id can't be named and go.
     """
     names = near_duplicates(docs, **how).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     kept = docs.join(names, docs["doc_id"] == F.col("__kept"), "left_semi")
