@@ -26,6 +26,9 @@ OUTSIDE = {"nav", "footer", "aside", "form", "button", "select", "textarea", "di
 INSIDE = {"article", "main"}
 OUTSIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 OUTSIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notices|popup|modal|newsletter|subscribe|signup|sidebar|side|menu|navbar|nav|navigation|breadcrumbs?|footer|foot|masthead|topbar|comments?|replies|reply|disqus|share|sharing|social|related|recommend\w*|widget|toolbar|skip|login|search)(?:$|[\s_-])", re.I)
+#: Names that rule out even an article element.
+NO_ARTICLE_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|comments?|replies|reply|related|recommend\w*|teaser)(?:$|[\s_-])", re.I)
+HEADER_NAMES = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 INSIDE_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|body|main|text)(?:$|[\s_-])", re.I)
 
 
@@ -34,7 +37,7 @@ class Block:
     text: str
     parent: int
     outside: bool
-    inside: bool
+    inside: int
     header: bool
     linked: int
     tag: str
@@ -45,7 +48,7 @@ class Element:
     tag: str
     number: int
     outside: bool
-    inside: bool
+    inside: int
     header: bool
     skipped: bool = False
 
@@ -66,7 +69,7 @@ class Page:
         self.parts, self.linked = [], 0
 
     def read(self, source: str) -> list[Block]:
-        stack, number, at = [Element("", 0, False, False, False)], 0, 0
+        stack, number, at = [Element("", 0, False, 0, False)], 0, 0
         while at < len(source):
             m = TAG.search(source, at)
             text = source[at : m.start() if m else len(source)]
@@ -107,11 +110,13 @@ class Page:
     def begin(self, top: Element, tag: str, number: int, attributes: str) -> Element:
         found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes else {}
         names = f"{found.get('class', '')} {found.get('id', '')}".strip()
-        outside = tag in OUTSIDE or found.get("role", "").lower() in OUTSIDE_ROLES or bool(names and OUTSIDE_NAMES.search(names) and tag not in INSIDE and tag not in ("body", "html"))
+        outside = tag in OUTSIDE or found.get("role", "").lower() in OUTSIDE_ROLES or bool(names and tag not in ("body", "html") and (NO_ARTICLE_NAMES if tag in INSIDE else OUTSIDE_NAMES).search(names))
         outside |= "hidden" in attributes.lower().split() or found.get("aria-hidden") == "true"
-        inside = tag in INSIDE or found.get("role") == "main" or bool(names and INSIDE_NAMES.search(names))
-        # what an outer article holds is inside unless something between them is not
-        return Element(tag, number, top.outside or outside, top.inside or inside, top.header or tag == "header" and not top.inside, top.skipped or tag in SKIPPED)
+        named = bool(names and INSIDE_NAMES.search(names))
+        # an article says more than a main element, and that more than a name
+        inside = 3 if tag == "article" else 2 if tag == "main" or found.get("role") == "main" else int(named)
+        header = (tag == "header" or bool(names and not named and HEADER_NAMES.search(names))) and not top.inside
+        return Element(tag, number, top.outside or outside, max(top.inside, inside), top.header or header, top.skipped or tag in SKIPPED)
 
     def imply_ends(self, stack: list[Element], tag: str) -> None:
         """A new block ends an open paragraph; an item ends the item before it."""
@@ -127,15 +132,15 @@ class Page:
                 return
 
 
-def content_probability(b: Block, has_inside: bool) -> float:
-    """A linear classifier's probability that a block is main text."""
+def content_probability(b: Block, inside: int) -> float:
+    """A linear classifier's probability that a block is main text; inside: the surest mark of it on the page."""
     if b.outside or b.header:
         return 1e-6
     words = b.text.count(" ") + 1
     density = min(1.0, b.linked / max(1, len(b.text)))
     score = 1.2 + 0.04 * min(words, 60) - 4.0 * density + (0.8 if b.text[-1] in ".!?:;\"'”»" else -0.4) + (0.6 if b.tag in ("p", "h1", "h2", "h3", "pre", "blockquote") else 0)
-    if has_inside:
-        score += 9.0 if b.inside else -9.0
+    if inside:
+        score += 9.0 if b.inside >= inside else -9.0
     return 1 / (1 + math.exp(-score))
 
 
@@ -201,11 +206,11 @@ def label(blocks: list[Block], adjacency: float = 0.5, proximity: float = 1.0) -
     """
     if not blocks:
         return []
-    has_inside = any(b.inside and not b.outside for b in blocks)
+    inside = max((b.inside for b in blocks if not (b.outside or b.header)), default=0)
     n, last = len(blocks), {}
     graph = Cut(n + 2)
     for i, b in enumerate(blocks):
-        p = min(max(content_probability(b, has_inside), 1e-6), 1 - 1e-6)
+        p = min(max(content_probability(b, inside), 1e-6), 1 - 1e-6)
         graph.edge(n, i, -math.log(1 - p), 0)
         graph.edge(i, n + 1, -math.log(p), 0)
         if i and not (b.outside or blocks[i - 1].outside):

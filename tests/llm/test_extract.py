@@ -23,7 +23,7 @@ PARTS = {
     "nav": "<nav><a href=/x>Home</a><a href=/y>News</a></nav>", "header": "<header><h2>The Daily Site</h2></header>", "footer": "<footer><p>All rights reserved by us.</p></footer>",
     "aside": "<aside><p>Read this other story as well, please do.</p></aside>", "cookie": "<div class='cookie-banner'><p>We use cookies to make this site work for you.</p></div>",
     "ad": '<div id="ad-1">Buy a boat now.</div>', "form": "<form><label>Your mail address here</label><button>Go</button></form>", "script": "<script>if (a < b) document.write('<p>no</p>')</script>",
-    "style": "<style>p { color: red }</style>", "comments": "<section class=comments><h3>Comments</h3><div class=comment><p>I liked this article very much indeed.</p></div></section>", "note": "<!-- <p>hidden words</p> -->",
+    "style": "<style>p { color: red }</style>", "comments": "<section class=comments><h3>Comments</h3><div class=comment><p>I liked this article very much indeed.</p></div></section>", "top": "<div class='site-header'><p>The paper of this town since long ago.</p></div>", "teaser": "<section class=related><article><p>Another story that you may like to read now.</p></article></section>", "note": "<!-- <p>hidden words</p> -->",
 }
 MAIN = "<h1>A &amp; B</h1><p>First   words\nof the <b>story</b>, told at length.</p><p>Second&nbsp;part &lt;here&gt; caf&eacute; &#x263A;.<br>Next line</p><ul><li>One point</li><li>Two points</li></ul>"
 WANT = "A & B\n\nFirst words of the story, told at length.\n\nSecond part <here> café ☺. Next line\n\nOne point\n\nTwo points"
@@ -39,6 +39,11 @@ def test_parts_that_are_not_the_article_go(wrap):
         assert ex.main_text(page) == WANT
 
 
+def test_comments_that_are_articles_go():
+    page = f"<main><p>Before the article.</p><article>{MAIN}<div class=comments><article class=comment><p>Nice.</p></article></div></article><article class='comment'><p>Bad.</p></article></main>"
+    assert ex.main_text(page) == WANT
+
+
 def test_page_without_marks_keeps_paragraphs_and_not_links():
     text = "This is a long paragraph of a plain old page that says something about the world in whole sentences."
     page = "<body><div><a href=a>Home</a> <a href=b>About</a> <a href=c>Contact</a></div><p>" + text + "</p><p>" + text + "</p><div><a href=d>Next</a></div>"
