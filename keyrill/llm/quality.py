@@ -44,7 +44,12 @@ def measures(text: bytes) -> tuple[np.ndarray, list[bytes]]:
     other = len(text.translate(None, UPPER + LOWER + HIGH + DIGITS + b" \t\n\r\x0b\x0c"))
     solid = sum(map(len, words))
     runs = len(words) - 2
-    repeated = 1 - len(set(zip(words, words[1:], words[2:]))) / runs if runs >= 20 else -1.0  # noqa: B905  the shortest ends them
+    repeated = -1.0
+    if runs >= 20:
+        triples = Counter(zip(words, words[1:], words[2:]))  # noqa: B905  the shortest ends them
+        often = sum(n > 1 for n in triples.values())
+        # many triples must come again: one phrase that does is no mark of junk
+        repeated = min(1 - len(triples) / runs, 4 * often / len(triples))
     symbols = len(text) - len(text.translate(None, SYMBOLS))
     return np.array([upper / max(1, upper + lower), symbols / n, text.count(b"|") / n, repeated, text.count(b"!!") / n, other / solid if solid >= 40 else -1.0]), words
 
