@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,32 +10,63 @@ from keyrill.operators.scan import BLOCK, block_of, running_total
 from keyrill.operators.store import first, latest
 
 
-def route(log: DataFrame, width: int = BLOCK) -> DataFrame:
-    """Add `action` to puts: PERM_INSERT, DYNA_WRITE, NOOP_PERM or NOOP_DYNA.
+def mixed_ops(log: DataFrame, width: int = BLOCK) -> DataFrame:
+    """Add `action` to rows with op put, put_perm or put_dyna, in seq order.
 
-    A put that repeats the visible value does nothing; a key's first put is
-    permanent; any other put is a mutable write. The visible value is always
-    the previous put's, so a lag gives it. Rows are scanned in blocks of seq,
-    and what a block needs of earlier blocks comes from one row per block: a
-    hot key is split over its blocks.
+    put_dyna always writes the mutable layer (DYNA_WRITE); put_perm writes the
+    permanent one once (PERM_INSERT, later PERM_REJECTED); put inserts a new
+    key (PERM_INSERT), does nothing where it repeats the visible value
+    (NOOP_DYNA if the key has a mutable value, else NOOP_PERM), and writes the
+    mutable layer otherwise. A null value is a value; a null op counts as put.
+
+    No state has to be carried row by row: a key's first row shows its value
+    whatever its op, then every put and put_dyna shows its own, and put_perm
+    shows nothing more. Rows are scanned in blocks of seq, and what a block
+    needs of earlier blocks comes from one row per block: a hot key is split
+    over its blocks.
     """
     part = ["key", "__block"]
     inside = Window.partitionBy(*part).orderBy("seq")
-    rows = log.withColumn("__block", block_of("seq", width)).withColumn("__prev", F.lag(F.struct("value")).over(inside))
-    rows = rows.withColumn("__change", F.col("__prev").isNotNull() & ~F.col("__prev.value").eqNullSafe(F.col("value")))
-    blocks = rows.groupBy(*part).agg(F.min(F.struct("seq", "value")).alias("__first"), F.max(F.struct("seq", "value")).alias("__last"), F.max("__change").alias("__any"))
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    is_put, is_dyna, is_perm = (F.coalesce("op", F.lit("put")) == x for x in ("put", "put_dyna", "put_perm"))
+    other = lambda a, b: ~a.eqNullSafe(b)
+    rows = log.withColumn("__block", block_of("seq", width))
+    rows = rows.withColumn("__shown", F.last(F.when(~is_perm, F.struct("value")), ignorenulls=True).over(earlier))
+    rows = rows.withColumn("__dyna", is_dyna | (is_put & F.col("__shown").isNotNull() & other(F.col("__shown.value"), F.col("value"))))
+
+    row = F.struct("seq", is_put.alias("is_put"), "value")
+    blocks = rows.groupBy(*part).agg(
+        F.min(row).alias("__first"), F.min(F.when(~is_perm, row)).alias("__lead"), F.max(F.when(~is_perm, row)).alias("__last"),
+        F.max("__dyna").alias("__any_dyna"), F.max(is_perm).alias("__any_perm"),
+    )
     across = Window.partitionBy("key").orderBy("__block")
-    blocks = blocks.withColumn("__before", F.lag("__last").over(across))
-    turned = F.col("__any") | (F.col("__before").isNotNull() & ~F.col("__before.value").eqNullSafe(F.col("__first.value")))
-    blocks = blocks.withColumn("__dyna", F.coalesce(F.max(turned).over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
-    rows = rows.join(blocks.select(*part, F.col("__before.value").alias("__old"), F.col("__before").isNotNull().alias("__has"), "__dyna"), part)
-    lone = F.col("__prev").isNull()
-    known = ~lone | F.col("__has")
-    changed = F.when(lone, F.col("__has") & ~F.col("__old").eqNullSafe(F.col("value"))).otherwise(F.col("__change"))
-    rows = rows.withColumn("__known", known).withColumn("__changed", changed)
-    dyna = F.col("__dyna") | F.coalesce(F.max("__changed").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    action = F.when(~F.col("__known"), "PERM_INSERT").when(F.col("__changed"), "DYNA_WRITE").when(F.col("__is_dyna"), "NOOP_DYNA").otherwise("NOOP_PERM")
-    return rows.withColumn("__is_dyna", dyna).withColumn("action", action).select(*log.columns, "action")
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("__born", F.first("__first").over(across))
+    blocks = blocks.withColumn("__carried", F.coalesce(F.last("__last", ignorenulls=True).over(before), "__born"))
+    turned = F.coalesce(F.col("__lead.is_put") & (F.col("__lead.seq") != F.col("__born.seq")) & other(F.col("__lead.value"), F.col("__carried.value")), F.lit(False))
+    blocks = blocks.withColumn("__turned", F.col("__any_dyna") | turned)
+    blocks = blocks.select(
+        *part, F.col("__born.seq").alias("__born"), F.col("__born.is_put").alias("__born_put"), F.col("__carried.value").alias("__carried"),
+        F.coalesce(F.max("__turned").over(before), F.lit(False)).alias("__old_dyna"), F.coalesce(F.max("__any_perm").over(before), F.lit(False)).alias("__old_perm"),
+    )
+
+    rows = rows.join(blocks, part)
+    new = F.col("seq") == F.col("__born")
+    seen = F.when(F.col("__shown").isNull(), F.col("__carried")).otherwise(F.col("__shown.value"))
+    rows = rows.withColumn("__changed", is_dyna | (is_put & ~new & other(seen, F.col("value"))))
+    has_dyna = F.col("__old_dyna") | F.coalesce(F.max("__changed").over(earlier), F.lit(False))
+    has_perm = F.col("__old_perm") | (F.col("__born_put") & ~new) | F.coalesce(F.max(is_perm).over(earlier), F.lit(False))
+    rows = rows.withColumn("__has_dyna", has_dyna).withColumn("__has_perm", has_perm)
+    action = (
+        F.when(is_perm, F.when(F.col("__has_perm"), "PERM_REJECTED").otherwise("PERM_INSERT"))
+        .when(F.col("__changed"), "DYNA_WRITE").when(new, "PERM_INSERT").when(F.col("__has_dyna"), "NOOP_DYNA").otherwise("NOOP_PERM")
+    )
+    return rows.withColumn("action", action).select(*log.columns, "action")
+
+
+def route(log: DataFrame, width: int = BLOCK) -> DataFrame:
+    """Add `action` to plain puts: PERM_INSERT, DYNA_WRITE, NOOP_PERM or NOOP_DYNA."""
+    return mixed_ops(log.withColumn("op", F.lit("put")), width).select(*log.columns, "action")
 
 
 def perm_layer(log: DataFrame) -> DataFrame:
@@ -85,7 +113,7 @@ def compaction_epochs(routed: DataFrame, threshold: int = COMPACT_AFTER) -> Data
 
 
 class Layers:
-    """One key's two layers, put by put; values are compared as they are."""
+    """One key's two layers, put by put, as a stream holds them; values are compared as they are."""
 
     def __init__(self, perm: tuple | None = None, dyna: tuple | None = None):
         self.perm, self.dyna = perm, dyna
@@ -109,27 +137,6 @@ class Layers:
         return "PERM_INSERT"
 
 
-def _fold(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-    key, state = None, Layers()
-    for rows in batches:
-        actions = []
-        for k, op, value in zip(rows["key"], rows["op"], rows["value"], strict=True):
-            if k != key:
-                key, state = k, Layers()
-            actions.append(state.apply(op, None if value is None or value != value else value))
-        yield pd.DataFrame({"seq": rows["seq"], "key": rows["key"], "action": actions})
-
-
-def mixed_ops(log: DataFrame) -> DataFrame:
-    """seq, key, action where op is put, put_perm or put_dyna.
-
-    A fold in seq order. Rows are sorted by Spark, which spills, and stream
-    through Python in batches with the state of one key at a time.
-    """
-    rows = log.select("seq", "key", "op", "value").repartition("key").sortWithinPartitions("key", "seq")
-    return rows.mapInPandas(_fold, "seq long, key string, action string")
-
-
 def state(log: DataFrame) -> DataFrame:
     """key, value, first_seq, last_seq of the current state."""
     return first(log).select("key", F.col("seq").alias("first_seq")).join(latest(log).withColumnRenamed("seq", "last_seq"), "key")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyrill.functions.keys import NIL_KEY
+from keyrill.operators.scan import BLOCK, block_of
 
 
 def latest(log: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -37,15 +38,18 @@ def multi_get(probe: DataFrame, state: DataFrame) -> DataFrame:
     return rows.select("probe_id", "key", F.coalesce("__held", F.lit(False)).alias("found"), "value")
 
 
-def immutable_outcome(log: DataFrame) -> DataFrame:
+def immutable_outcome(log: DataFrame, width: int = BLOCK) -> DataFrame:
     """seq, key, outcome and kv_outcome of puts into a write-once store.
 
     outcome: inserted, noop (the first value again) or rejected. kv_outcome
     is that of a value store, where each repeat has a new pointer and is
-    rejected.
+    rejected. The first put meets the others in blocks of seq, so a hot key
+    is split over its blocks.
     """
-    firsts = first(log).select("key", F.col("value").alias("__value"), F.col("seq").alias("__seq"))
-    rows = log.select("seq", "key", "value").join(firsts, "key")
+    rows = log.select("seq", "key", "value", block_of("seq", width).alias("__block"))
+    firsts = rows.groupBy("key", "__block").agg(F.min(F.struct("seq", "value")).alias("__first"))
+    firsts = firsts.withColumn("__first", F.min("__first").over(Window.partitionBy("key")))
+    rows = rows.join(firsts.select("key", "__block", F.col("__first.value").alias("__value"), F.col("__first.seq").alias("__seq")), ["key", "__block"])
     new = F.col("seq") == F.col("__seq")
     return rows.select(
         "seq", "key",

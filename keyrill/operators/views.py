@@ -41,10 +41,17 @@ def write_attribution(log: DataFrame, bounds: list[Column]) -> DataFrame:
 def expiry(accesses: DataFrame, handle: str, ts: str, timeout_s: int) -> DataFrame:
     """Lives of view handles: a handle idle for longer than the timeout expires.
 
-    Returns handle, session (from 0), start, end, accesses.
+    Returns handle, session (from 0), start, end, accesses. Accesses within
+    one stretch of the timeout's length are never idle between them, so each
+    handle's stretches are first reduced to a row each, before the shuffle;
+    only those rows are put in order. Accesses without a time belong to
+    session 0.
     """
-    w = Window.partitionBy(handle).orderBy(ts, "seq")
-    idle = F.timestamp_diff("MICROSECOND", F.lag(ts).over(w), F.col(ts)) > F.lit(timeout_s * 1_000_000)
-    rows = accesses.withColumn("__new", F.coalesce(idle.cast("long"), F.lit(0)))
+    timeout = timeout_s * 1_000_000
+    stretch = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(max(1, timeout)))
+    rows = accesses.groupBy(handle, stretch.alias("__stretch")).agg(F.min(ts).alias("__start"), F.max(ts).alias("__end"), F.count("*").alias("__n"))
+    w = Window.partitionBy(handle).orderBy("__stretch")
+    idle = F.timestamp_diff("MICROSECOND", F.lag("__end").over(w), F.col("__start")) > F.lit(timeout)
+    rows = rows.withColumn("__new", F.coalesce(idle.cast("long"), F.lit(0)))
     rows = rows.withColumn("session", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(handle, "session").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("accesses"))
+    return rows.groupBy(handle, "session").agg(F.min("__start").alias("start"), F.max("__end").alias("end"), F.sum("__n").alias("accesses"))

@@ -140,12 +140,14 @@ def compaction_epochs(spark, sf_dir):
     return router.compaction_epochs(router.route(logs.event_log(spark, sf_dir)), threshold=50)
 
 
-@query()
+OPS = "m0 AS (SELECT seq, key, value, CASE seq % 3 WHEN 0 THEN 'put' WHEN 1 THEN 'put_dyna' ELSE 'put_perm' END AS op, row_number() OVER (PARTITION BY key ORDER BY seq) AS rn FROM ev), m1 AS (SELECT *, last_value(CASE WHEN op <> 'put_perm' OR rn = 1 THEN value END IGNORE NULLS) OVER w AS seen, coalesce(bool_or(op = 'put_perm' OR (op = 'put' AND rn = 1)) OVER w, false) AS has_perm FROM m0 WINDOW w AS (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), m2 AS (SELECT *, op = 'put_dyna' OR (op = 'put' AND rn > 1 AND value IS DISTINCT FROM seen) AS changed FROM m1), mo AS (SELECT *, coalesce(bool_or(changed) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS has_dyna FROM m2)"
+
+
+@query(f"WITH {EV}, {OPS} SELECT seq, key, CASE WHEN op = 'put_perm' AND has_perm THEN 'PERM_REJECTED' WHEN changed THEN 'DYNA_WRITE' WHEN op = 'put_perm' OR rn = 1 THEN 'PERM_INSERT' WHEN has_dyna THEN 'NOOP_DYNA' ELSE 'NOOP_PERM' END AS action FROM mo")
 def kv2_mixed_ops(spark, sf_dir):
-    """A fold: held against a step-by-step model in the tests."""
     rows = logs.event_log(spark, sf_dir)
     op = F.when(F.col("seq") % 3 == 0, "put").when(F.col("seq") % 3 == 1, "put_dyna").otherwise("put_perm")
-    return router.mixed_ops(rows.withColumn("op", op))
+    return router.mixed_ops(rows.withColumn("op", op)).select("seq", "key", "action")
 
 
 def _table_sql(bins: int) -> str:

@@ -47,7 +47,8 @@ class Database:
         checked = F.when(F.col("key") == NIL_KEY, F.raise_error(F.lit("the nil key can't be stored"))).otherwise(F.col("key"))
         rows = puts.select("seq", checked.alias("key"), "value", op.alias("op"))
         rows = rows.withColumn("shard", shard_of(F.col("key"))).withColumn("bucket", F.col("shard") % BUCKETS)
-        rows = rows.repartition("bucket", "shard").sortWithinPartitions("bucket", "shard", "key", "seq")
+        # rebalanced, so that Spark may split the shard of a hot key over several tasks
+        rows = rows.hint("rebalance", F.col("bucket"), F.col("shard")).sortWithinPartitions("bucket", "shard", "key", "seq")
         rows.write.mode("append").partitionBy("bucket").option("parquet.bloom.filter.enabled#key", "true").parquet(self._log)
 
     def get(self, key: str) -> DataFrame:

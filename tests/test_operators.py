@@ -3,9 +3,8 @@ import random
 from pyspark.sql import functions as F
 
 from keyrill.functions import keys as K
-from keyrill.operators import bloom, index, log, router, store
+from keyrill.operators import bloom, index, log, router, store, views
 from keyrill.operators.router import Layers
-from keyrill.plans.catalog import kv2_mixed_ops
 from keyrill.sources import logs, storage
 from keyrill.streaming.router import expiry_stream, route_stream
 from tests.oracle import SF
@@ -36,13 +35,33 @@ def test_layers_agree_with_latest(spark):
     assert got == {r["key"]: r["value"] for r in store.latest(df).collect()}
 
 
-def test_mixed_ops_matches_model(spark):
-    rows = {r.seq: r.action for r in kv2_mixed_ops(spark, SF).collect()}
+def test_mixed_ops_matches_model_across_blocks(spark):
+    r = random.Random(3)
+    rows = [(i, k, v, r.choice(["put", "put_dyna", "put_perm", "put_perm"])) for i, k, v in random_log(900, 120)]
     states, want = {}, {}
-    for r in logs.event_log(spark, SF).orderBy("seq").collect():
-        op = ("put", "put_dyna", "put_perm")[r.seq % 3]
-        want[r.seq] = states.setdefault(r.key, Layers()).apply(op, r.value)
-    assert rows == want
+    for seq, key, value, op in rows:
+        want[seq] = states.setdefault(key, Layers()).apply(op, value)
+    df = spark.createDataFrame(rows, "seq long, key string, value string, op string")
+    for width in (1, 50, 1 << 20):
+        assert {r.seq: r.action for r in router.mixed_ops(df, width).collect()} == want
+
+
+def test_write_once_outcomes_across_blocks(spark):
+    rows = random_log(300, 5)
+    want = {r.seq: (r.outcome, r.kv_outcome) for r in store.immutable_outcome(puts(spark, rows)).collect()}
+    first = {}
+    for seq, key, value in rows:
+        new = key not in first
+        assert want[seq] == (("inserted", "inserted") if new else ("noop" if first[key] == value else "rejected", "rejected"))
+        first.setdefault(key, value)
+    assert {r.seq: (r.outcome, r.kv_outcome) for r in store.immutable_outcome(puts(spark, rows), 7).collect()} == want
+
+
+def test_expiry_at_the_edge_of_the_timeout(spark):
+    at = [(1, 0), (1, 10), (1, 20), (1, 31), (1, 31), (2, 9), (2, 20), (3, None), (3, 5)]
+    df = spark.createDataFrame(at, "h int, s int").selectExpr("h", "timestamp_seconds(s) AS ts", "0L AS seq")
+    got = {(r.h, r.session, r.accesses, r.start and r.start.second, r.end and r.end.second) for r in views.expiry(df, "h", "ts", 10).collect()}
+    assert got == {(1, 0, 3, 0, 20), (1, 1, 2, 31, 31), (2, 0, 1, 9, 9), (2, 1, 1, 20, 20), (3, 0, 2, 5, 5)}
 
 
 def test_empty_log(spark):
