@@ -63,9 +63,9 @@ def history_get(rows: DataFrame) -> DataFrame:
 
 def visible_generation(log: DataFrame, by: list[str], limit: int) -> DataFrame:
     """key, value left in mutable files that drop all keys at each push."""
-    rows = generations(log, by, limit)
-    ends = log.groupBy(*by).agg(F.floor(F.count("*") / F.lit(limit + 1)).cast("long").alias("__live"))
-    return latest(rows.join(ends, by).where(F.col("generation") == F.col("__live"))).select("key", "value")
+    rows = running_total(log, by, "seq", F.lit(1), "__n", total="__all")
+    generation = lambda n: F.floor(F.col(n) / F.lit(limit + 1))
+    return latest(rows.where(generation("__n") == generation("__all"))).select("key", "value")
 
 
 def write_once(log: DataFrame) -> DataFrame:

@@ -13,17 +13,19 @@ def block_of(seq: str, width: int = BLOCK) -> Column:
     return F.floor(F.col(seq) / F.lit(width))
 
 
-def running_total(df: DataFrame, by: list[str], seq: str, amount: Column, out: str, width: int = BLOCK) -> DataFrame:
+def running_total(df: DataFrame, by: list[str], seq: str, amount: Column, out: str, width: int = BLOCK, total: str | None = None) -> DataFrame:
     """Add `out`: the sum of `amount` over the group's rows with smaller seq.
 
     Sums inside blocks of `width` sequence numbers and sums of whole blocks are
-    scanned apart, then added; a hot group is split over its blocks.
+    scanned apart, then added; a hot group is split over its blocks. `total`
+    names a further column for the sum over the whole group.
     """
     part = [*by, "__block"]
     rows = df.withColumn("__amount", amount.cast("long")).withColumn("__block", block_of(seq, width))
     before = Window.partitionBy(*part).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     blocks = rows.groupBy(*part).agg(F.sum("__amount").alias("__sum"))
     earlier = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(*part, F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"))
+    whole = [F.sum("__sum").over(Window.partitionBy(*by)).alias(total)] if total else []
+    blocks = blocks.select(*part, F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"), *whole)
     inner = rows.withColumn("__inner", F.coalesce(F.sum("__amount").over(before), F.lit(0)))
     return inner.join(blocks, part).withColumn(out, F.col("__base") + F.col("__inner")).drop("__amount", "__block", "__inner", "__base")

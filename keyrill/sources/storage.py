@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,10 @@ from keyrill.functions.keys import ENTRY_BYTES, shard_of
 
 #: Directories of a store; shards share them, since 512 directories of small files cost more than they prune.
 BUCKETS = 16
+#: Entries of a key file that one read takes, 12 MB.
+READ_ENTRIES = 1 << 18
+#: A key file's entry.
+ENTRY = np.dtype([("key", "V32"), ("offset", ">u8"), ("length", ">u8")])
 
 
 def write_store(state: DataFrame, path: str, buckets: int = BUCKETS) -> None:
@@ -44,21 +50,28 @@ def get_one(store: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
     return store.where((F.col("bucket") == shard % buckets) & (F.col("shard") == shard) & (F.col("key") == key))
 
 
-def _entries(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-    for files in batches:
-        for path, data in zip(files["path"], files["content"], strict=True):
-            skip = int.from_bytes(data[4:8], "big")
-            rows = [data[i : i + ENTRY_BYTES] for i in range(skip, len(data) - ENTRY_BYTES + 1, ENTRY_BYTES)]
-            yield pd.DataFrame({
-                "path": path, "key": [r[:32].hex() for r in rows],
-                "offset": [int.from_bytes(r[32:40], "big") for r in rows], "length": [int.from_bytes(r[40:], "big") for r in rows],
-            }, columns=["path", "key", "offset", "length"])
+def _entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, at in zip(batch.column("path").to_pylist(), batch.column("at").to_pylist(), strict=True):
+            store, name = fs.FileSystem.from_uri(path)
+            with store.open_input_file(name) as file:
+                skip = int.from_bytes(file.read_at(4, 4), "big")
+                data = file.read_at(READ_ENTRIES * ENTRY_BYTES, skip + at * ENTRY_BYTES) if skip + at * ENTRY_BYTES < file.size() else b""
+            rows = np.frombuffer(data, ENTRY, len(data) // ENTRY_BYTES)
+            columns = [pa.array([path] * len(rows), pa.string()), pa.array([k.hex() for k in map(bytes, rows["key"])], pa.string()), pa.array(rows["offset"].astype(np.int64)), pa.array(rows["length"].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["path", "key", "offset", "length"])
 
 
 def read_key_files(spark: SparkSession, pattern: str) -> DataFrame:
-    """path, key, offset, length of binary key files (a header, then 48-byte entries)."""
-    files = spark.read.format("binaryFile").load(pattern).select("path", "content")
-    return files.mapInPandas(_entries, "path string, key string, offset long, length long")
+    """path, key, offset, length of binary key files (a header, then 48-byte entries).
+
+    A file is read in ranges of READ_ENTRIES entries, each by one task, so its
+    size is no limit; bytes after the last whole entry are passed over.
+    """
+    files = spark.read.format("binaryFile").load(pattern).select("path", "length")
+    last = F.floor(F.col("length") / F.lit(ENTRY_BYTES)).cast("long")
+    ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(READ_ENTRIES).cast("long"))).alias("at"))
+    return ranges.repartition("path", "at").mapInArrow(_entries, "path string, key string, offset long, length long")
 
 
 def key_file_bytes(header_hex: str, entries_hex: list[str]) -> bytes:

@@ -115,6 +115,17 @@ def test_key_files(spark, tmp_path):
     assert [(r.key, r.offset, r.length) for r in storage.read_key_files(spark, str(tmp_path / "*.dat")).collect()] == [("cd" * 32, 9, 4)]
 
 
+def test_key_files_longer_than_a_read_empty_and_cut_off(spark, tmp_path):
+    n = storage.READ_ENTRIES + 3
+    header = bytes.fromhex("00000001" + "00000018" + f"{24:016x}" + f"{24 + 48 * n:016x}")
+    (tmp_path / "long.dat").write_bytes(header + b"".join(bytes(24) + i.to_bytes(8, "big") + i.to_bytes(8, "big") + (7).to_bytes(8, "big") for i in range(n)) + b"half")
+    (tmp_path / "none.dat").write_bytes(header)
+    rows = storage.read_key_files(spark, str(tmp_path / "*.dat"))
+    r = rows.agg(F.count("*"), F.countDistinct("key"), F.sum("offset"), F.sum("length"), F.countDistinct("path")).first()
+    assert tuple(r) == (n, n, n * (n - 1) // 2, 7 * n, 1)
+    assert rows.where(F.conv(F.substring("key", 49, 16), 16, 10).cast("long") != F.col("offset")).count() == 0
+
+
 def run_stream(spark, df, name):
     q = df.writeStream.format("memory").queryName(name).outputMode("append").start()
     q.processAllAvailable()
