@@ -49,7 +49,7 @@ def spread_lines(docs: DataFrame, min_sites: int = 8, min_chars: int = 20, lg_k:
 
 
 def remove_lines(docs: DataFrame, text: str = "text", site: str = "source", doc_id: str = "doc_id", broadcast_lines: int = BROADCAST_LINES, **how) -> DataFrame:
-    """The documents' own columns, with text less its boilerplate, and n_removed.
+    """The documents' own columns, with text less its boilerplate, and n_removed, which replaces a column of that name.
 
     A boilerplate line stays in the document with the least doc_id that has it
     (in all rows with that id) and goes everywhere else; other lines stay as
@@ -65,6 +65,10 @@ def remove_lines(docs: DataFrame, text: str = "text", site: str = "source", doc_
     return _remove_by_join(docs, lines, doc_id, text, min_chars)
 
 
+def _own(docs: DataFrame) -> list[str]:
+    return [c for c in docs.columns if c.lower() != "n_removed"]
+
+
 def _remove_by_table(docs: DataFrame, table: dict[int, int], doc_id: str, text: str, min_chars: int) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(table)
 
@@ -88,19 +92,23 @@ def _remove_by_table(docs: DataFrame, table: dict[int, int], doc_id: str, text:
             arrays = [pa.array([t for t, _ in found], pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array([n for _, n in found], pa.int64())], names=[*batch.schema.names, "n_removed"])
 
-    kept = docs.select(*[c for c in docs.columns if c != "n_removed"])
+    kept = docs.select(*_own(docs))
     return kept.mapInArrow(each, StructType([*kept.schema.fields, StructField("n_removed", LongType())]))
 
 
 def _remove_by_join(docs: DataFrame, lines: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
-    kept = [c for c in docs.columns if c != "n_removed"]
-    rows = docs.select(*kept, F.md5(text).alias("__md5"))
-    held = rows.select("__md5", F.explode(F.split(text, "\n")).alias("line")).where(_is_candidate(F.col("line"), min_chars))
-    held = held.select("__md5", _line_hash(F.col("line")).alias("hash")).join(lines.where("keeper IS NOT NULL"), "hash")
-    held = held.distinct().groupBy("__md5").agg(F.map_from_entries(F.collect_list(F.struct("hash", "keeper"))).alias("__held"))
-    rows = rows.join(held, "__md5", "left")
-    stays = lambda line: ~_is_candidate(line, min_chars) | F.coalesce(F.try_element_at(F.col("__held"), _line_hash(line)).eqNullSafe(F.col(doc_id)) | F.try_element_at(F.col("__held"), _line_hash(line)).isNull(), F.lit(True))
-    whole = F.split(text, "\n")
-    rows = rows.withColumn("__kept", F.when(F.col("__held").isNull(), whole).otherwise(F.filter(whole, stays)))
-    removed = F.coalesce(F.size(whole) - F.size("__kept"), F.lit(0)).cast("long")
-    return rows.withColumn("n_removed", F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(removed)).withColumn(text, F.array_join("__kept", "\n")).select(*kept, "n_removed")
+    # packed, so that no column of the documents can clash with ours
+    rows = docs.select(docs[doc_id].alias("own"), docs[text].alias("text"), F.md5(docs[text]).alias("md5"), F.struct(*_own(docs)).alias("row"))
+    held = rows.select("md5", F.explode(F.split("text", "\n")).alias("line")).where(_is_candidate(F.col("line"), min_chars))
+    held = held.select("md5", _line_hash(F.col("line")).alias("hash")).join(lines.where("keeper IS NOT NULL"), "hash")
+    held = held.distinct().groupBy("md5").agg(F.map_from_entries(F.collect_list(F.struct("hash", "keeper"))).alias("held"))
+    rows = rows.join(held, "md5", "left")
+
+    def stays(line: Column) -> Column:
+        keeper = F.try_element_at(F.col("held"), _line_hash(line))
+        return ~_is_candidate(line, min_chars) | keeper.isNull() | keeper.eqNullSafe(F.col("own"))
+
+    whole = F.split("text", "\n")
+    rows = rows.withColumn("kept", F.when(F.col("held").isNull(), whole).otherwise(F.filter(whole, stays)))
+    removed = F.when(F.col("text").isNull(), 0).otherwise(F.size(whole) - F.size("kept")).cast("long")
+    return rows.select(F.col("row").withField(text, F.array_join("kept", "\n")).alias("row"), removed.alias("n_removed")).select("row.*", "n_removed")

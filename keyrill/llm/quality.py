@@ -165,12 +165,12 @@ def score(text: bytes, w: np.ndarray) -> float:
 
 
 def classify(docs: DataFrame, text: str = "text", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """The documents' columns with quality (the scorer's probability) and accepted.
+    """The documents' columns with quality (the scorer's probability) and accepted, which replace columns of these names.
 
     Null and empty texts get the score of a text without features.
     """
     w = docs.sparkSession.sparkContext.broadcast(fit(docs, text, sample))
-    kept = docs.select(*[c for c in docs.columns if c not in ("quality", "accepted")])
+    kept = docs.select(*[c for c in docs.columns if c.lower() not in ("quality", "accepted")])
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -99,6 +99,7 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     Repeated rows with that doc_id count as one document; one of them stays.
     Rows with a null doc_id can't be named and go.
     """
-    names = near_duplicates(docs, **how).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.join(names, docs["doc_id"] == F.col("__kept"), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    names = near_duplicates(docs, **how).where("doc_id = component_id").select("doc_id").distinct()
+    # packed, so that no column of the documents can clash with ours
+    packed = docs.select(docs[how.get("doc_id", "doc_id")].alias("doc_id"), F.struct("*").alias("row"))
+    return packed.join(names, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("row.*")
