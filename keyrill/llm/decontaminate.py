@@ -15,6 +15,8 @@ from keyrill.llm.shared import columns
 WORD = re.compile(r"\w+")
 #: Items of fewer words are sought word for word.
 SHORT = 8
+#: Items of twice so many words or more are sought by parts of at least so many.
+PART = 20
 #: Words of benchmark items that go to the tasks at once; a larger benchmark takes several passes.
 BLOCK_WORDS = 2_000_000
 #: Random walks, tables of each walk, and positions that a table samples.
@@ -31,6 +33,16 @@ def edits_allowed(n: int, share: float) -> int:
     return int(n * share + 1e-9) if n >= SHORT else 0
 
 
+def parts_of(n: int) -> list[tuple[int, int]]:
+    """(start, end) of the parts of an item of n words.
+
+    Where an item is within its edits, some part is within its own: if each had
+    more than its share, all together would have more than the item's.
+    """
+    m = max(1, n // PART)
+    return [(n * i // m, n * (i + 1) // m) for i in range(m)]
+
+
 @dataclass
 class Match:
     item: int
@@ -101,13 +113,15 @@ class Benchmark:
             if len(x) < SHORT:
                 self.short.setdefault(int(x[0]), []).append(n)
         self.grams = np.unique(np.concatenate([self.gram_numbers(x) for x in self.items if len(x) >= SHORT] or [np.array([], np.int64)]))
+        #: item, start and end of each part
+        self.parts = [(n, a, b) for n, x in enumerate(self.items) if len(x) >= SHORT for a, b in parts_of(len(x))]
         rng, size, self.classes = np.random.default_rng(seed), SHORT, []
-        long = sorted((len(x), n) for n, x in enumerate(self.items) if len(x) >= SHORT)
+        long = sorted((b - a, p) for p, (_, a, b) in enumerate(self.parts))
         while long:
             size = max(size, long[0][0])
             top = size + size // 5
-            mine = [n for m, n in long if m <= top]
-            long = [(m, n) for m, n in long if m > top]
+            mine = [p for m, p in long if m <= top]
+            long = [(m, p) for m, p in long if m > top]
             self.classes.append(self.window_class((size + top) // 2, mine, rng))
 
     def gram_numbers(self, x: np.ndarray) -> np.ndarray:
@@ -117,19 +131,26 @@ class Benchmark:
 
     def window_class(self, size: int, mine: list[int], rng: np.random.Generator) -> tuple:
         stride = max(1, size // 16)
-        slack = max(edits_allowed(len(self.items[n]), self.share) + abs(len(self.items[n]) - size) for n in mine) + stride
-        # an item keeps all but three of its word triples for each edit
-        least = min(len(self.items[n]) - 2 - 3 * edits_allowed(len(self.items[n]), self.share) for n in mine)
-        rows = np.full((len(mine), max(len(self.items[n]) for n in mine)), self.base - 1, np.int64)
-        for i, n in enumerate(mine):
-            rows[i, : len(self.items[n])] = self.items[n]
+        words = [self.part(p) for p in mine]
+        edits = [edits_allowed(len(w), self.share) for w in words]
+        slack = max(k + abs(len(w) - size) for w, k in zip(words, edits, strict=True)) + stride
+        # a part keeps all but three of its word triples for each edit
+        least = min(len(w) - 2 - 3 * k for w, k in zip(words, edits, strict=True))
+        shortest = min(len(w) - k for w, k in zip(words, edits, strict=True))
+        rows = np.full((len(mine), max(map(len, words))), self.base - 1, np.int64)
+        for i, w in enumerate(words):
+            rows[i, : len(w)] = w
         walks = Walks(size, len(self.words), rng)
         tables = []
         for keys in walks.keys(rows, self.base):
             order = np.argsort(keys, kind="stable")
             order = order[keys[order] >= 0]
             tables.append((keys[order], np.array(mine)[order]))
-        return size, stride, slack, max(1, least), walks, tables
+        return size, stride, slack, max(1, least), shortest, walks, tables
+
+    def part(self, p: int) -> np.ndarray:
+        n, a, b = self.parts[p]
+        return self.items[n][a:b]
 
     def hits(self, x: np.ndarray) -> np.ndarray:
         """Where a triple of some item's words starts."""
@@ -140,21 +161,22 @@ class Benchmark:
         return at[self.grams[place] == gram]
 
     def candidates(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
-        """(text, item, start, size) of windows that collide with an item.
+        """(text, part, start, size) of windows that collide with an item's part.
 
         Windows whose surroundings hold too few of all items' word triples for
-        any item within its edits are passed over; that loses no match. The
-        others are embedded.
+        any part within its edits are passed over; that loses no match. The
+        others are embedded. Windows start as late as the shortest part that
+        deletions may leave; past the end of the text they are padded.
         """
         if not self.classes:
             return
         marked = [(i, x, self.hits(x)) for i, x in enumerate(texts) if len(x) >= 3]
-        for size, stride, slack, least, walks, tables in self.classes:
+        for size, stride, slack, least, shortest, walks, tables in self.classes:
             wins, spots = [], []
             for i, x, hit in marked:
                 if len(hit) < least:
                     continue
-                starts = np.arange(0, max(1, len(x) - size + stride), stride)
+                starts = np.arange(0, max(1, len(x) - shortest + stride), stride)
                 inside = np.searchsorted(hit, starts + size + slack - 2) - np.searchsorted(hit, starts - slack)
                 starts = starts[inside >= least]
                 at = starts[:, None] + np.arange(size)
@@ -165,10 +187,10 @@ class Benchmark:
             rows, where = np.concatenate(wins), np.concatenate(spots)
             for lo in range(0, len(rows), 2048):
                 found = set()
-                for keys, (known, items) in zip(walks.keys(rows[lo : lo + 2048], self.base), tables, strict=True):
+                for keys, (known, parts) in zip(walks.keys(rows[lo : lo + 2048], self.base), tables, strict=True):
                     left, right = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
                     for r in np.flatnonzero(right > left):
-                        found.update((lo + int(r), int(n)) for n in items[left[r] : right[r]])
+                        found.update((lo + int(r), int(n)) for n in parts[left[r] : right[r]])
                 yield from ((int(where[r, 0]), n, int(where[r, 1]), size) for r, n in sorted(found))
 
     def search(self, texts: list[str | None]) -> list[list[Match]]:
@@ -177,17 +199,32 @@ class Benchmark:
         numbers = [np.array([get(w, 0) for w in normal_words(t)], np.int64) for t in texts]
         found: list[list[Match]] = [self.short_matches(x) for x in numbers]
         seen: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for i, n, start, size in self.candidates(numbers):
-            x, item = numbers[i], self.items[n]
-            k = edits_allowed(len(item), self.share)
-            reach = k + abs(len(item) - size) + size // 4
+        tried: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for i, p, start, size in self.candidates(numbers):
+            x, part, (n, own, end) = numbers[i], self.part(p), self.parts[p]
+            k = edits_allowed(len(part), self.share)
+            reach = k + abs(len(part) - size) + size // 4
             lo, hi = max(0, start - reach), min(len(x), start + size + reach)
-            if any(a <= max(0, start - k) and min(len(x), start + size + k) <= b for a, b in seen.get((i, n), ())):
+            if any(a <= max(0, start - k) and min(len(x), start + size + k) <= b for a, b in seen.get((i, p), ())):
+                continue
+            seen.setdefault((i, p), []).append((lo, hi))
+            edits, a, b = best_alignment(part, x[lo:hi])
+            if edits > k:
                 continue
-            seen.setdefault((i, n), []).append((lo, hi))
-            edits, a, b = best_alignment(item, x[lo:hi])
+            a, b = lo + a, lo + b
+            item = self.items[n]
+            if len(part) < len(item):
+                # around the part, as much as the item's edits may shift it
+                k = edits_allowed(len(item), self.share)
+                first, last = a - own, b + len(item) - end
+                if any(u <= max(0, first - k) and min(len(x), last + k) <= v for u, v in tried.get((i, n), ())):
+                    continue
+                lo, hi = max(0, first - k - reach), min(len(x), last + k + reach)
+                tried.setdefault((i, n), []).append((lo, hi))
+                edits, a, b = best_alignment(item, x[lo:hi])
+                a, b = lo + a, lo + b
             if edits <= k:
-                found[i].append(Match(n, lo + a, lo + b, edits))
+                found[i].append(Match(n, a, b, edits))
         return [self.apart(f) for f in found]
 
     def short_matches(self, x: np.ndarray) -> list[Match]:

@@ -82,3 +82,29 @@ def test_best_alignment_is_exact():
         edits, a, b = dc.best_alignment(item, region)
         assert edits == brute_force(item.tolist(), region.tolist())
         assert brute_force(item.tolist(), region[a:b].tolist()) <= edits
+
+
+def test_recall_at_all_allowed_edits_at_the_end_and_for_long_items():
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(2000)]
+    for low, high in ((8, 14), (45, 60), (100, 120), (200, 400)):
+        items = [(i, [rng.choice(words) for _ in range(rng.randint(low, high))]) for i in range(30)]
+        bench = dc.Benchmark(items, 0.2)
+        for tail in (0, 60):
+            texts = []
+            for _, item in items:
+                v = list(item)
+                for _ in range(dc.edits_allowed(len(item), 0.2)):
+                    at, kind = rng.randrange(len(v)), rng.randrange(3)
+                    v[at : at + (kind < 2)] = [rng.choice(words)] if kind else []
+                texts.append(" ".join([*rng.choices(words, k=60), *v, *rng.choices(words, k=tail)]))
+            found = [any(bench.ids[m.item] == i for m in ms) for i, ms in enumerate(bench.search(texts))]
+            assert np.mean(found) >= 0.97, (low, high, tail)
+
+
+def test_some_part_is_within_its_edits():
+    for n in range(dc.SHORT, 500):
+        parts = dc.parts_of(n)
+        assert [a for a, _ in parts] == [0, *(b for _, b in parts[:-1])] and parts[-1][1] == n
+        assert len(parts) == 1 or min(b - a for a, b in parts) >= dc.PART
+        assert sum(dc.edits_allowed(b - a, 0.2) + 1 for a, b in parts) > dc.edits_allowed(n, 0.2)
