@@ -28,8 +28,8 @@ KNOWN = 1000
 HIDDEN, CLASS = 24, 32
 #: Steps of truncated backpropagation, windows of a training segment, segments trained together.
 WINDOW, WINDOWS, STREAMS = 16, 4, 160
-#: One in so many segments of a document trains in each round, chosen by a hash.
-EVERY, ROUNDS, RATE = 6, 2, 0.01
+#: Rounds over all training text, and the step size.
+ROUNDS, RATE = 2, 0.01
 #: Tokens scored together, and steps whose states are held at once.
 TOKENS, STEPS = 3_000_000, 32
 #: Groups of words by their last byte, then by the hash of their last two.
@@ -298,30 +298,28 @@ class Trainer:
         self.waiting = []
 
 
-def train(docs: DataFrame, words: Broadcast, every: int = EVERY, rounds: int = ROUNDS) -> Network:
+def train(docs: DataFrame, words: Broadcast, rounds: int = ROUNDS) -> Network:
     """Rounds of local training on all training documents, weights averaged between them.
 
-    Each task trains a copy on one in `every` segments of each of its
-    documents, whatever their number; Spark sums the copies' weights, each by
-    the tokens it saw, and one weight vector reaches the driver.
+    Each task trains a copy on all segments of each of its documents; Spark
+    sums the copies' weights, each by the tokens it saw, and one weight vector
+    reaches the driver.
     """
     net, sc = Network(words.value.order), docs.sparkSession.sparkContext
-    for turn in range(rounds):
+    for _ in range(rounds):
         weights = sc.broadcast(net.flat())
 
-        def each(batches: Iterable[pa.RecordBatch], weights=weights, turn=turn) -> Iterator[pa.RecordBatch]:
+        def each(batches: Iterable[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
             vocab = words.value
             own = Network(vocab.order)
             own.load(weights.value)
             trainer, look, end, size = Trainer(own), vocab.lookup, vocab.symbols[END], WINDOW * WINDOWS
             for batch in batches:
                 for t in batch.column("text").cast(pa.binary()):
-                    text = t.as_py()
-                    toks, mark = tokens(text), zlib.crc32(text)
-                    for at in range(0, len(toks) + 1, size):
-                        if (mark + turn + at // size * 7) % every == 0:
-                            part = look(toks[at : at + size])[0]
-                            trainer.add(np.append(part, end) if at + size > len(toks) else part, vocab.symbol(toks[at - 1]) if at else end)
+                    toks = tokens(t.as_py())
+                    symbols = np.append(look(toks)[0], end)
+                    for at in range(0, len(symbols), size):
+                        trainer.add(symbols[at : at + size], symbols[at - 1] if at else end)
             trainer.run()
             if trainer.tokens:
                 yield pa.RecordBatch.from_arrays([pa.array([trainer.tokens], pa.int64()), pa.array([own.flat().tolist()], pa.list_(pa.float32()))], ["seen", "weights"])
@@ -355,7 +353,7 @@ def score_symbols(net: Network, texts: list[np.ndarray], start: int) -> np.ndarr
     return back
 
 
-def score_documents(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 5, held_fold: int = 1, head: int = HEAD, every: int = EVERY, rounds: int = ROUNDS) -> DataFrame:
+def score_documents(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 5, held_fold: int = 1, head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents with crc32(doc_id as text) mod folds equal to held_fold are held
@@ -376,7 +374,7 @@ def score_documents(rows: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sc = docs.sparkSession.sparkContext
     words = vocabulary(counts, head)
     shipped = sc.broadcast(words)
-    weights = sc.broadcast(train(docs, shipped, every, rounds).flat())
+    weights = sc.broadcast(train(docs, shipped, rounds).flat())
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = shipped.value

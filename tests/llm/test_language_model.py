@@ -86,3 +86,17 @@ def test_state_runs_through_whole_texts():
             total += float(net.log_probability(h, np.array([x]))[0])
             last = x
         assert math.isclose(s, total / math.log(10), rel_tol=1e-4)
+
+
+def test_every_segment_of_every_training_document_trains(spark):
+    texts = [f"{w} b c" for w in "adefghij"] + ["x y " * 150]
+    docs = spark.createDataFrame([(t, False) for t in texts], "text string, held_out boolean")
+    vocab = lm.vocabulary(lm.count_words(docs).persist())
+    words, start = spark.sparkContext.broadcast(vocab), lm.Network(vocab.order).flat()
+    for t in texts[:-1]:
+        assert (lm.train(docs.where(docs.text == t), words, rounds=1).flat() != start).any()
+    # all segments: a word at any place of a long text changes what is learned
+    whole, long = lm.train(docs.where(docs.text == texts[-1]), words, rounds=1).flat(), texts[-1].split()
+    for at in range(32, len(long), 64):
+        other = spark.createDataFrame([(" ".join([*long[:at], "a", *long[at + 1 :]]), False)], docs.schema)
+        assert (lm.train(other, words, rounds=1).flat() != whole).any()
