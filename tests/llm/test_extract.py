@@ -39,6 +39,35 @@ def test_parts_that_are_not_the_article_go(wrap):
         assert ex.main_text(page) == WANT
 
 
+LONG = "".join(f"<p>Sentence number {i} of the story goes on for a while, so that the article is the better part.</p>" for i in range(6))
+LONG_WANT = "\n\n".join([WANT, *re.findall("<p>(.*?)</p>", LONG)])
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='wrapper with-sidebar'><article>{}</article>{rest}</div>",
+    "<form id=aspnetForm><div><article>{}</article></div>{rest}</form>",
+    "<form id=aspnetForm>{rest}<div class=content>{}</div></form>",
+    "<div class='page menu'>{rest}<article>{}</article></div>",
+    "<div class='site social'><main>{}</main>{rest}</div>",
+    "<div id=main class='no-sidebar'>{}</div>{rest}",
+    "<article class='post related-links-on'>{}</article>{rest}",
+    "<div class='single-post comments-open'>{rest}<div class='post-body'>{}</div></div>",
+    "<div id=ad-wrapper class=widget><div role=main>{}</div></div>{rest}",
+    "<aside class=page><article class=banner>{}</article></aside>{rest}",
+    "<div class='siteHeader'><p>Since long ago the paper of this town.</p></div><div class='mainContent hasSidebar'>{}</div>{rest}",
+    "<table><tr><td class=sidebar>{rest}</td><td class=text>{}</td></tr></table>",
+])
+def test_names_and_forms_around_the_article_are_no_verdict(page):
+    rest = "".join(PARTS[k] for k in ("nav", "header", "footer", "aside", "cookie", "ad", "form", "comments", "teaser"))
+    assert ex.main_text("<html><body>" + page.replace("{rest}", rest).replace("{}", MAIN + LONG) + "</body></html>") == LONG_WANT
+
+
+def test_many_comments_outweigh_no_article():
+    notes = "".join(f"<article class=comment><p>Reader {i} has a good deal to say about this, and says it here at length.</p></article>" for i in range(40))
+    for page in (f"<article>{MAIN}</article><section class=comments>{notes}</section>", f"<main><article>{MAIN}<div id=comments>{notes}</div></article></main>"):
+        assert ex.main_text(page) == WANT
+
+
 def test_comments_that_are_articles_go():
     page = f"<main><p>Before the article.</p><article>{MAIN}<div class=comments><article class=comment><p>Nice.</p></article></div></article><article class='comment'><p>Bad.</p></article></main>"
     assert ex.main_text(page) == WANT
@@ -55,6 +84,10 @@ def test_broken_pages_do_not_crash(page):
     assert ex.main_text(page) == ""
 
 
+def test_deep_page():
+    assert ex.main_text("<div>word and " * 30_000 + "</div>" * 30_000).startswith("word and")
+
+
 def test_long_page_and_plain_text():
     page = "<article>" + "<p>word word word.</p>" * 4000 + "</article><footer>end</footer>"
     assert ex.main_text(page) == "\n\n".join(["word word word."] * 4000)
