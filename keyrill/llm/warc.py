@@ -41,7 +41,8 @@ def page_record(page_id: int | None, url: str | None, payload: bytes | None, sha
     if page_id is not None:
         headers["X-Page-ID"] = str(page_id)
     if url is not None:
-        headers["WARC-Target-URI"] = " ".join(url.split())
+        # a header ends at a line's end, which no valid address holds
+        headers["WARC-Target-URI"] = url.replace("\r", "%0D").replace("\n", "%0A")
     if payload is None:
         headers |= {"WARC-Profile": PROFILE, "X-Refers-To-Page-ID": str(refers_to)}
         return record(headers, b"")
@@ -58,38 +59,83 @@ def members(file: BinaryIO) -> Iterator[bytes]:
     rest = b""
     while True:
         z, out = zlib.decompressobj(31), []
+        begun = False
         while not z.eof:
             data = rest or file.read(READ)
             rest = b""
             if not data:
-                if out or z.unconsumed_tail:
+                if begun:
                     raise WarcError("the last record is cut off")
                 return
-            out.append(z.decompress(data))
+            begun = True
+            try:
+                out.append(z.decompress(data))
+            except zlib.error as damage:
+                raise WarcError(f"a record can't be decompressed: {damage}") from damage
         rest = z.unused_data
         yield b"".join(out)
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and block of one record; the framing and all digests must hold."""
+    """Headers, by lower-case name, and block of one record; the framing and all SHA-1 digests must hold.
+
+    White space around a value counts for nothing, a line that begins with
+    some goes on with the value before, and of several headers with one name
+    the first counts. Digests by other algorithms or in other forms than
+    base32 and hexadecimal can't be checked and are passed over.
+    """
     head, gap, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
     if not gap or not lines[0].startswith("WARC/"):
         raise WarcError("not a WARC record")
-    headers = dict(x.split(": ", 1) for x in lines[1:])
-    size = int(headers["Content-Length"])
-    if len(rest) != size + 4 or rest[size:] != b"\r\n\r\n":
+    headers: dict[str, str] = {}
+    name = ""
+    for line in lines[1:]:
+        if line[:1] in (" ", "\t") and name:
+            headers[name] += " " + line.strip()
+            continue
+        name, colon, value = line.partition(":")
+        name = name.strip().lower()
+        if not colon or not name:
+            raise WarcError(f"not a header: {line[:80]!r}")
+        if name in headers:
+            name = ""
+            continue
+        headers[name] = value.strip()
+    size = headers.get("content-length", "")
+    if not (size.isascii() and size.isdigit()):
+        raise WarcError("no Content-Length")
+    if len(rest) != int(size) + 4 or rest[int(size) :] != b"\r\n\r\n":
         raise WarcError(f"Content-Length {size} does not frame the record")
-    block = rest[:size]
-    if (want := headers.get("WARC-Block-Digest")) and want != f"sha1:{digest(block)}":
+    if not headers.get("warc-type"):
+        raise WarcError("no WARC-Type")
+    block = rest[: int(size)]
+    if (want := sha1_of(headers.get("warc-block-digest"))) and want != digest(block):
         raise WarcError("the block digest does not match")
-    if headers["WARC-Type"] == "response" and headers["WARC-Payload-Digest"] != f"sha1:{digest(payload_of(block))}":
+    if (want := sha1_of(headers.get("warc-payload-digest"))) and headers["warc-type"].lower() in WITH_PAYLOAD and "warc-segment-number" not in headers and want != digest(payload_of(headers, block)):
         raise WarcError("the payload digest does not match")
     return headers, block
 
 
-def payload_of(block: bytes) -> bytes:
-    return block.partition(b"\r\n\r\n")[2]
+#: Records whose block holds the payload that their payload digest is of.
+WITH_PAYLOAD = ("response", "resource", "request", "conversion")
+
+
+def sha1_of(value: str | None) -> str | None:
+    """The base32 form of a SHA-1 digest header; None if it is no such digest."""
+    kind, _, text = (value or "").partition(":")
+    text = text.strip()
+    if kind.strip().lower() not in ("sha1", "sha-1"):
+        return None
+    if len(text) == 40 and not text.strip("0123456789abcdefABCDEF"):
+        return base64.b32encode(bytes.fromhex(text)).decode()
+    return text.upper() if len(text) == 32 else None
+
+
+def payload_of(headers: dict[str, str], block: bytes) -> bytes:
+    """The block without its HTTP head, or all of a block that isn't HTTP."""
+    http = headers.get("content-type", "").replace(" ", "").lower().startswith("application/http")
+    return block.partition(b"\r\n\r\n")[2] if http else block
 
 
 def read_records(file: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -100,6 +146,26 @@ def read_records(file: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
 SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
+def whole_number(headers: dict[str, str], name: str) -> int | None:
+    value = headers.get(name)
+    if value is None:
+        return None
+    try:
+        return int(value)
+    except ValueError:
+        raise WarcError(f"{name} is no number: {value[:80]!r}") from None
+
+
+def row_of(headers: dict[str, str], block: bytes, payloads: bool) -> tuple:
+    """A record as a row of SCHEMA."""
+    kind = headers["warc-type"].lower()
+    body = payload_of(headers, block) if kind in WITH_PAYLOAD else None
+    sha = sha1_of(headers.get("warc-payload-digest")) or (digest(body) if body is not None else None)
+    size = whole_number(headers, "x-payload-length") if body is None else len(body)
+    return whole_number(headers, "x-page-id"), headers.get("warc-target-uri"), kind, whole_number(headers, "x-refers-to-page-id"), size, sha, body if payloads else None
+
+
+
 def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0) -> DataFrame:
     """Write one archive per task; returns path, records of those that are complete.
 
@@ -128,7 +194,7 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
             for row in batch.to_pylist():
                 if out is None:
                     store.create_dir(root, recursive=True)
-                    out = store.open_output_stream(f"{root}/{path}")
+                    out = store.open_output_stream(f"{root}/{path}", compression=None)
                 payload = None if row["html"] is None else row["html"].encode()
                 sha = base64.b32encode(bytes.fromhex(row["sha"])).decode()
                 out.write(page_record(row["page_id"], row["url"], payload, sha, row["size"], row["refers_to"]))
@@ -145,22 +211,21 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
 
     Columns: page_id, url, record_type, refers_to, payload_bytes,
     payload_digest, payload (null for revisits, and for all unless wanted).
-    A record that fails a check raises WarcError.
+    Archives of other writers are read too: records of every type have a row,
+    in which what their headers don't tell is null. A record that is cut off,
+    badly framed or not as its digest says raises WarcError.
     """
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
-        number = lambda x: None if x is None else int(x)
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 store, name = fs.FileSystem.from_uri(path)
                 rows, held = [], 0
-                with store.open_input_stream(name) as file:
-                    for h, block in read_records(file):
-                        body = payload_of(block) if h["WARC-Type"] == "response" else None
-                        size = int(h["X-Payload-Length"]) if body is None else len(body)
-                        rows.append((number(h.get("X-Page-ID")), h.get("WARC-Target-URI"), h["WARC-Type"], number(h.get("X-Refers-To-Page-ID")), size, h["WARC-Payload-Digest"].removeprefix("sha1:"), body if payloads else None))
-                        held += len(body or b"")
+                with store.open_input_stream(name, compression=None) as file:
+                    for headers, block in read_records(file):
+                        rows.append(row_of(headers, block, payloads))
+                        held += len(block) if payloads else 0
                         if len(rows) == 4096 or held > 1 << 24:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
                             rows, held = [], 0
