@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from keyrill.llm.components import components
 from keyrill.llm.shared import columns, cut
 
-#: Rows of a bucket that one cell compares with as many others.
-BLOCK = 512
+#: Rows of a bucket that one cell compares with as many others, and how many of them at a time.
+BLOCK, TILE = 2048, 512
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -76,8 +76,8 @@ def _hashed(tables: int, seed: int):
                     c = codes(x, tables, seed)
                     own = part.take(pa.array(mine))
                     yield pa.RecordBatch.from_arrays(
-                        [own.column("label"), own.column("rep"), own.column("copies"), pa.array(np.full(len(mine), d), pa.int32()), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in c], pa.binary()), pa.array(c.reshape(len(mine), -1).tolist(), pa.list_(pa.int32()))],
-                        names=["label", "rep", "copies", "dim", "unit", "codes", "probes"],
+                        [own.column("label"), own.column("v"), own.column("rep"), own.column("first"), own.column("copies"), pa.array(np.full(len(mine), d), pa.int32()), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in c], pa.binary()), pa.array(c.reshape(len(mine), -1).tolist(), pa.list_(pa.int32()))],
+                        names=["label", "v", "rep", "first", "copies", "dim", "unit", "codes", "probes"],
                     )
 
     return each
@@ -97,34 +97,52 @@ def cell_links(reps: np.ndarray, copies: np.ndarray, x: np.ndarray, c: np.ndarra
     """Rows with a link in this cell: index, links counted here, least row index reached here.
 
     A pair counts in the first bucket where it meets, so that it counts once.
+    Rows are compared TILE by TILE, so memory grows with the rows and not with
+    their square.
     """
     order = np.argsort(reps)
     reps, copies, x, c, block = reps[order], copies[order], x[order], c[order], block[order]
-    near = x @ x.T >= cosine
-    own = c[:, table, 0] == bucket
-    near &= own[:, None] | own[None]
-    if not same:
-        near &= block[:, None] != block[None]
-    np.fill_diagonal(near, False)
-    a, b = np.nonzero(np.triu(near))
-    if not len(a):
-        return order[:0], order[:0], order[:0]
-    t, where = _meet(c[:, :, 0], c, a, b)
-    here = (t == table) & (where == bucket)
-    links = np.zeros(len(reps), np.int64)
-    np.add.at(links, a[here], copies[b[here]])
-    np.add.at(links, b[here], copies[a[here]])
-    root = np.arange(len(reps))
+    own, n = c[:, table, 0] == bucket, len(reps)
+    links, root, linked = np.zeros(n, np.int64), np.arange(n), np.zeros(n, bool)
+    stars = []
+    for lo in range(0, n, TILE):
+        for to in range(lo, n, TILE):
+            rows, cols = slice(lo, lo + TILE), slice(to, to + TILE)
+            near = x[rows] @ x[cols].T >= cosine
+            near &= own[rows, None] | own[None, cols]
+            if not same:
+                near &= block[rows, None] != block[None, cols]
+            a, b = np.nonzero(near)
+            a, b = a + lo, b + to
+            if lo == to:
+                a, b = a[a < b], b[a < b]
+            if not len(a):
+                continue
+            t, where = _meet(c[:, :, 0], c, a, b)
+            here = (t == table) & (where == bucket)
+            np.add.at(links, a[here], copies[b[here]])
+            np.add.at(links, b[here], copies[a[here]])
+            linked[a], linked[b] = True, True
+            # a tile's links as stars: every row in it and the least that it reaches
+            low = spread(np.arange(n), a, b)
+            held = np.flatnonzero(low != np.arange(n))
+            stars.append((low[held], held))
+    if stars:
+        root = spread(root, *(np.concatenate(s) for s in zip(*stars, strict=True)))
+    at = np.flatnonzero(linked)
+    return order[at], links[at], order[root[at]]
+
+
+def spread(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least index that each row reaches along the pairs (a, b)."""
     while True:
         low = root.copy()
         np.minimum.at(low, a, root[b])
         np.minimum.at(low, b, root[a])
         low = low[low]
         if (low == root).all():
-            break
+            return root
         root = low
-    linked = np.flatnonzero(near.any(1))
-    return order[linked], links[linked], order[root[linked]]
 
 
 def _compared(cosine: float):
@@ -167,7 +185,8 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
     is at least `cosine`. A vector that is null, empty, zero or holds null or
     non-finite parts, or whose label or vec_id is null, links with nothing; its
     component is itself (with a null vec_id: null, and it isn't kept). Equal
-    vectors count as one with copies. Repeated rows are vectors of their own.
+    vectors of a label count as one with copies, under a number of its own, so
+    that a vec_id may stand at several rows: each is a vector of its own.
 
     Every vector goes to four buckets in each table, by id alone; buckets where
     nothing can meet go, and vectors are then sent to the others. A bucket of
@@ -178,9 +197,11 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
     finite = lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))
     fit = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.forall("v", finite) & F.exists("v", lambda e: e != 0), F.lit(False))
     source = source.withColumn("label", F.col("label").cast("string"))
-    reps = source.where(fit).groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    kinds = "label string, rep long, copies long, dim int, unit binary, codes binary, probes array<int>"
-    hashed = cut(reps.select("label", "v", F.col("rep").cast("long").alias("rep"), "copies").mapInArrow(_hashed(tables, seed), kinds), "vectors")
+    reps = source.where(fit).groupBy("label", "v").agg(F.min("vec_id").cast("long").alias("first"), F.count("*").alias("copies"))
+    kinds = f"label string, v {dict(source.dtypes)['v']}, rep long, first long, copies long, dim int, unit binary, codes binary, probes array<int>"
+    # numbers are drawn once: what follows reads them from the table
+    numbered = reps.select("label", "v", F.monotonically_increasing_id().alias("rep"), "first", "copies")
+    hashed = cut(numbered.mapInArrow(_hashed(tables, seed), kinds), "vectors")
     spots = hashed.select("label", "dim", "rep", F.posexplode("probes").alias("p", "bucket"))
     spots = spots.select("label", "dim", "rep", F.floor(F.col("p") / 4).cast("int").alias("table"), "bucket", (F.col("p") % 4 == 0).cast("int").alias("own"))
     where = ["label", "dim", "table", "bucket"]
@@ -193,7 +214,10 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
     found = cut(sent.mapInArrow(_compared(cosine), "rep long, links long, root long"), "links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     stars = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("rep"), "root")
-    classes = cut(reps.join(counts, "rep", "left").join(stars, "rep", "left").select("label", "v", F.coalesce("links", F.lit(0)).alias("links"), "copies", F.coalesce("root", "rep").alias("root")), "classes")
-    good = source.where(fit).join(classes, ["label", "v"]).select("vec_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("root").cast("long").alias("component_id"))
+    rooted = hashed.select("label", "v", "rep", "first", "copies").join(stars, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    names = rooted.groupBy("root").agg(F.min("first").alias("name"))
+    classes = rooted.join(names, "root").join(counts, "rep", "left")
+    classes = cut(classes.select("label", "v", F.coalesce("links", F.lit(0)).alias("links"), "copies", "name"), "classes")
+    good = source.where(fit).join(classes, ["label", "v"]).select("vec_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("name").alias("component_id"))
     bad = source.where(~fit).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
     return good.unionByName(bad).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

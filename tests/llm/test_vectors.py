@@ -40,8 +40,9 @@ def planted(n=60, d=64, seed=2):
 
 
 def test_planted_groups_reach_recall_and_add_nothing(spark, monkeypatch):
-    for block in (512, 8):
+    for block, tile in ((2048, 512), (2048, 16), (8, 512)):
         monkeypatch.setattr(vectors, "BLOCK", block)
+        monkeypatch.setattr(vectors, "TILE", tile)
         rows = planted()
         df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").selectExpr("*", "1 AS rep", "2 AS dim")
         got = {r.vec_id: r for r in vectors.near_vectors(df).collect()}
@@ -69,3 +70,25 @@ def test_null_id_repeats_and_empty(spark):
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).standard_normal((5, 16))
     assert np.allclose(np.linalg.norm(vectors.hadamard(x), axis=1), 4 * np.linalg.norm(x, axis=1))
+
+
+def test_ids_with_several_vectors(spark):
+    east, north, up = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    near = [0.99, 0.05, 0.0]
+    rows = [(5, east, 1), (5, north, 1), (6, near, 1), (7, [0.98, 0.1, 0.0], 1), (7, east, 2), (8, up, 1), (8, up, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df).collect())
+    assert got == [(5, 0, 5, True), (5, 2, 5, True), (6, 2, 5, False), (7, 0, 7, True), (7, 2, 5, False), (8, 1, 8, True), (8, 1, 8, True)]
+
+
+def test_recall_of_the_hashing_by_width():
+    rng = np.random.default_rng(9)
+    for d in (3, 16, 64, 128, 384, 768):
+        a = rng.standard_normal((1500, d))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b = rng.standard_normal((1500, d))
+        b -= (b * a).sum(1, keepdims=True) * a
+        b /= np.linalg.norm(b, axis=1, keepdims=True)
+        ca, cb = (vectors.codes(x, 6, 11) for x in (a, 0.931 * a + np.sqrt(1 - 0.931**2) * b))
+        met = (ca[:, :, :1] == cb).any((1, 2)) | (cb[:, :, :1] == ca).any((1, 2))
+        assert met.mean() >= 0.95, (d, met.mean())
