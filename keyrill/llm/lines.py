@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from keyrill.llm.shared import columns, cut
+from keyrill.llm.shared import columns, cut, quoted
 
 #: Boilerplate lines whose hashes may go to every task: 16 bytes each, so some 100 MB in a worker at most.
 BROADCAST_LINES = 500_000
@@ -66,7 +66,7 @@ def remove_lines(docs: DataFrame, text: str = "text", site: str = "source", doc_
 
 
 def _own(docs: DataFrame) -> list[str]:
-    return [c for c in docs.columns if c.lower() != "n_removed"]
+    return [quoted(c) for c in docs.columns if c.lower() != "n_removed"]
 
 
 def _remove_by_table(docs: DataFrame, table: dict[int, int], doc_id: str, text: str, min_chars: int) -> DataFrame:
@@ -98,7 +98,7 @@ def _remove_by_table(docs: DataFrame, table: dict[int, int], doc_id: str, text:
 
 def _remove_by_join(docs: DataFrame, lines: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
     # packed, so that no column of the documents can clash with ours
-    rows = docs.select(docs[doc_id].alias("own"), docs[text].alias("text"), F.md5(docs[text]).alias("md5"), F.struct(*_own(docs)).alias("row"))
+    rows = docs.select(docs[quoted(doc_id)].alias("own"), docs[quoted(text)].alias("text"), F.md5(docs[quoted(text)]).alias("md5"), F.struct(*_own(docs)).alias("row"))
     held = rows.select("md5", F.explode(F.split("text", "\n")).alias("line")).where(_is_candidate(F.col("line"), min_chars))
     held = held.select("md5", _line_hash(F.col("line")).alias("hash")).join(lines.where("keeper IS NOT NULL"), "hash")
     held = held.distinct().groupBy("md5").agg(F.map_from_entries(F.collect_list(F.struct("hash", "keeper"))).alias("held"))
@@ -111,4 +111,4 @@ def _remove_by_join(docs: DataFrame, lines: DataFrame, doc_id: str, text: str, m
     whole = F.split("text", "\n")
     rows = rows.withColumn("kept", F.when(F.col("held").isNull(), whole).otherwise(F.filter(whole, stays)))
     removed = F.when(F.col("text").isNull(), 0).otherwise(F.size(whole) - F.size("kept")).cast("long")
-    return rows.select(F.col("row").withField(text, F.array_join("kept", "\n")).alias("row"), removed.alias("n_removed")).select("row.*", "n_removed")
+    return rows.select(F.col("row").withField(quoted(text), F.array_join("kept", "\n")).alias("row"), removed.alias("n_removed")).select("row.*", "n_removed")

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
+from keyrill.llm.shared import quoted
+
 #: Votes of a labeller.
 ABSTAIN, GOOD, BAD = 0, 1, 2
 LABELLERS = ("capitals", "symbols", "pipes", "repetition", "shouts", "letters")
@@ -132,7 +134,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> np.ndarray
     learns from about `sample` of them, different texts chosen by their hash;
     it sees their posterior and no label of a person. Null texts count as empty.
     """
-    rows = docs.select(F.coalesce(docs[text], F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(docs[quoted(text)], F.lit("")).alias("text"))
 
     def vote(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -170,7 +172,7 @@ def classify(docs: DataFrame, text: str = "text", threshold: float = 0.5, sample
     Null and empty texts get the score of a text without features.
     """
     w = docs.sparkSession.sparkContext.broadcast(fit(docs, text, sample))
-    kept = docs.select(*[c for c in docs.columns if c.lower() not in ("quality", "accepted")])
+    kept = docs.select(*[quoted(c) for c in docs.columns if c.lower() not in ("quality", "accepted")])
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

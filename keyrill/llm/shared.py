@@ -9,10 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, a new one of this machine."""
+    """The folder in spark.checkpoint.dir; where that is unset, a new one of this machine.
+
+    Without that setting the session must be local, as no other machine could
+    read the folder.
+    """
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='keyrill-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -43,4 +49,9 @@ def drop(df: DataFrame) -> None:
 
 def columns(df: DataFrame, **wanted: str) -> DataFrame:
     """The named columns under our own names; other columns can't clash with them."""
-    return df.select(*[df[c].alias(name) for name, c in wanted.items()])
+    return df.select(*[df[quoted(c)].alias(name) for name, c in wanted.items()])
+
+
+def quoted(name: str) -> str:
+    """A column's name for Spark, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"

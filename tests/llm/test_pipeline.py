@@ -32,7 +32,7 @@ def test_stages_keep_the_columns(spark):
 
 
 #: Names of our own columns inside the operators.
-CLASHES = ["hash", "fp", "ids", "decoded", "component_id", "fingerprint", "row", "own", "md5", "held", "kept", "keeper", "line", "site", "Quality", "accepted", "N_Removed", "root", "node", "u", "v", "seed", "doc", "source_id", "__kept", "__md5"]
+CLASHES = ["hash", "fp", "ids", "decoded", "component_id", "fingerprint", "row", "own", "md5", "held", "kept", "keeper", "line", "site", "Quality", "accepted", "N_Removed", "root", "node", "u", "v", "seed", "doc", "source_id", "__kept", "__md5", "a.b", "x`y", "text.z"]
 
 
 def test_stages_with_nulls_no_rows_and_clashing_names(spark):
@@ -40,7 +40,7 @@ def test_stages_with_nulls_no_rows_and_clashing_names(spark):
     want = {}
     for at, (name, stage) in enumerate(corpus_pipeline.STAGES):
         want[name] = stage(spark, docs, SF).count()
-        clashing = docs.withColumns({c: F.lit("x") for c in CLASHES})
+        clashing = docs.select("*", *[F.lit("x").alias(c) for c in CLASHES])
         assert stage(spark, clashing, SF).count() == want[name]
         assert stage(spark, docs.limit(0), SF).count() == 0
         rows = [(None, None, None, None, None)] * 2 + [(1, None, None, None, None)] * 2 + [(2, "", None, "s", 0), (None, "some words", "en", "s", 3), (3, "some words", "en", None, 3), (3, "some words", "en", None, 3), (4, "long " * 100_000, "en", "s", 3)]
@@ -49,7 +49,7 @@ def test_stages_with_nulls_no_rows_and_clashing_names(spark):
 
 
 def test_lines_by_join_and_single_copies_keep_clashing_columns(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 150").withColumns({c: F.lit("x") for c in CLASHES})
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 150").select("*", *[F.lit("x").alias(c) for c in CLASHES])
     a, b = lines.remove_lines(docs, min_sites=2), lines.remove_lines(docs, min_sites=2, broadcast_lines=0)
     assert a.columns == b.columns and sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     assert simhash.one_of_each(docs).columns == docs.columns and simhash.one_of_each(docs).where("fp <> 'x' OR __kept <> 'x'").count() == 0
