@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 import os
 import zlib
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import repeat
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,12 @@ HEAD = 131_072
 #: Words that the network tells apart; others it knows by their group.
 KNOWN = 1000
 HIDDEN, CLASS = 24, 32
-#: Steps of truncated backpropagation, windows of a training segment, segments trained together.
-WINDOW, WINDOWS, STREAMS = 16, 4, 160
+#: Steps of truncated backpropagation, documents trained side by side, and tokens of each that are laid out at once.
+WINDOW, STREAMS, REACH = 16, 320, 64
+#: Tokens of a document over which training carries the state; a longer one goes on from a new state, elsewhere.
+CARRIED = 1024
 #: Rounds over all training text, and the step size.
-ROUNDS, RATE = 2, 0.01
+ROUNDS, RATE = 1, 0.02
 #: Tokens scored together, and steps whose states are held at once.
 TOKENS, STEPS = 3_000_000, 32
 #: Groups of words by their last byte, then by the hash of their last two.
@@ -183,125 +185,222 @@ class Network:
             self.p[k] = values[at : at + v.size].reshape(v.shape).astype(np.float32)
             at += v.size
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    def step(self, x: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The next states (units, streams): a stream is a column, so that gates are whole stretches of memory."""
+        return self.unit(self.p["e"][x].T, h)[0]
+
+    def unit(self, a: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The next states from the inputs' part a, and what their gradient needs."""
         d = HIDDEN
-        a, g = self.p["e"][x], h @ self.p["u"] + self.p["bu"]
-        zr = 1 / (1 + np.exp(-(a[:, : 2 * d] + g[:, : 2 * d])))
-        z, r = zr[:, :d], zr[:, d:]
-        c = np.tanh(a[:, 2 * d :] + r * g[:, 2 * d :])
-        return c + z * (h - c), z, r, c, g[:, 2 * d :]
-
-    def by_class(self, target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        k = self.cls[target]
+        g = self.p["u"].T @ h
+        g += self.p["bu"][:, None]
+        zr = a[: 2 * d] + g[: 2 * d]
+        # the logistic function by way of tanh, which does not overflow
+        zr *= 0.5
+        np.tanh(zr, out=zr)
+        zr += 1
+        zr *= 0.5
+        c = zr[d:] * g[2 * d :]
+        c += a[2 * d :]
+        np.tanh(c, out=c)
+        new = h - c
+        new *= zr[:d]
+        new += c
+        return new, zr, c, g
+
+    def by_class(self, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """Places in order of their target's class, and (class, start, end) in that order."""
+        k = self.cls[target].astype(np.uint16)
         order = np.argsort(k, kind="stable")
-        cuts = np.searchsorted(k[order], np.arange(len(self.p["bc"]) + 1))
-        for c in np.flatnonzero(cuts[1:] > cuts[:-1]):
-            yield int(c), order[cuts[c] : cuts[c + 1]]
+        cuts = np.searchsorted(k[order], np.arange(len(self.p["bc"]) + 1)).tolist()
+        return order, [(c, a, b) for c, (a, b) in enumerate(pairwise(cuts)) if b > a]
 
     def log_probability(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithms."""
-        out = self.own_log(h @ self.p["wc"] + self.p["bc"], self.cls[target])
-        for c, at in self.by_class(target):
-            out[at] += self.own_log(h[at] @ self.p["w"][c] + self.p["b"][c], self.slot[target[at]])
-        return out
-
-    def softmax(self, logits: np.ndarray) -> np.ndarray:
-        e = np.exp(np.clip(logits, -80, 80))
-        return e / (e @ np.ones((e.shape[1], 1), e.dtype))
-
-    def own_log(self, logits: np.ndarray, target: np.ndarray) -> np.ndarray:
+        order, classes = self.by_class(target)
+        h, slot, out = h[order], self.slot[target[order]], np.empty(len(target), h.dtype)
+        logits = h @ self.p["wc"]
+        logits += self.p["bc"]
+        for c, a, b in classes:
+            out[a:b] = logits[a:b, c]
+        out -= self.log_total(logits)
+        for c, a, b in classes:
+            own = h[a:b] @ self.p["w"][c]
+            own += self.p["b"][c]
+            out[a:b] += own[np.arange(b - a), slot[a:b]]
+            out[a:b] -= self.log_total(own)
+        back = np.empty_like(out)
+        back[order] = out
+        return back
+
+    def log_total(self, logits: np.ndarray) -> np.ndarray:
+        """Logarithms of the sums of exponentials; the logits are lost."""
         # states lie within -1 and 1 and weights are small: logits stay far below 80, where float32 would overflow
         np.clip(logits, -80, 80, out=logits)
-        return logits[np.arange(len(logits)), target] - np.log(np.exp(logits) @ np.ones(logits.shape[1], logits.dtype))
-
-    def gradients(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
-        """Loss, gradients and the last state of one window (steps, streams); none flows before it."""
-        p, d, steps = self.p, HIDDEN, []
-        start = h
-        for t in range(len(x)):
-            new, z, r, c, gn = self.step(x[t], h)
-            keep = mask[t][:, None]
-            steps.append((h, z, r, c, gn, keep))
-            h = np.where(keep, new, h)
-        hs = np.stack([*[s[0] for s in steps[1:]], h]) if len(steps) > 1 else h[None]
-        live = np.flatnonzero(mask.reshape(-1))
-        out, target = hs.reshape(-1, d)[live], y.reshape(-1)[live]
-        n = max(1, len(live))
-        e = self.softmax(out @ p["wc"] + p["bc"])
-        rows = np.arange(len(live))
-        loss = -np.log(e[rows, self.cls[target]] + 1e-30).sum()
-        e[rows, self.cls[target]] -= 1
-        grad = {k: np.zeros_like(v) for k, v in p.items() if k != "e"}
+        np.exp(logits, out=logits)
+        return np.log(logits @ np.ones(logits.shape[1], logits.dtype))
+
+    def errors(self, logits: np.ndarray, own: np.ndarray) -> float:
+        """Turns logits into probabilities less one at the target; returns the loss."""
+        np.clip(logits, -80, 80, out=logits)
+        np.exp(logits, out=logits)
+        logits /= logits @ np.ones((logits.shape[1], 1), logits.dtype)
+        rows = np.arange(len(logits))
+        loss = -float(np.log(logits[rows, own] + 1e-30).sum())
+        logits[rows, own] -= 1
+        return loss
+
+    def gradients(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, live: np.ndarray | None, h: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+        """Loss, gradients and the last state of one window (steps, streams); none flows before it.
+
+        States are (units, streams). fresh marks the places where a document
+        begins, whose state is zero; live those that count, None for all.
+        """
+        p, d, (length, streams) = self.p, HIDDEN, x.shape
+        a = np.ascontiguousarray(p["e"][x].transpose(0, 2, 1))
+        hs, steps, starts = np.empty((length, streams, d), h.dtype), [], fresh.any(1)
+        for t in range(length):
+            before = h * ~fresh[t] if starts[t] else h
+            h, zr, c, g = self.unit(a[t], before)
+            hs[t] = h.T
+            steps.append((before, zr, c, g))
+        out, target = hs.reshape(-1, d), y.reshape(-1)
+        places = np.arange(len(target)) if live is None else np.flatnonzero(live.reshape(-1))
+        n = max(1, len(places))
+        order, classes = self.by_class(target[places])
+        places = places[order]
+        out, target = out[places], target[places]
+        grad = {k: np.zeros_like(v) for k, v in p.items()}
+        e = out @ p["wc"]
+        e += p["bc"]
+        loss = self.errors(e, self.cls[target])
         grad["wc"], grad["bc"], back = out.T @ e, e.sum(0), e @ p["wc"].T
-        for c, at in self.by_class(target):
-            s = self.softmax(out[at] @ p["w"][c] + p["b"][c])
-            own = np.arange(len(at))
-            loss -= np.log(s[own, self.slot[target[at]]] + 1e-30).sum()
-            s[own, self.slot[target[at]]] -= 1
-            grad["w"][c], grad["b"][c] = out[at].T @ s, s.sum(0)
-            back[at] += s @ p["w"][c].T
-        dout = np.zeros((len(x) * x.shape[1], d), np.float32)
-        dout[live] = back
-        dout = dout.reshape(len(x), -1, d)
-        dh, da = np.zeros_like(start), np.zeros((len(x), x.shape[1], 3 * d), np.float32)
-        for t in range(len(x) - 1, -1, -1):
-            before, z, r, c, gn, keep = steps[t]
-            dh = dh + dout[t]
-            dn = np.where(keep, dh, 0)
-            dc = dn * (1 - z) * (1 - c * c)
-            dz = dn * (before - c) * z * (1 - z)
-            dr = dc * gn * r * (1 - r)
-            da[t] = np.concatenate([dz, dr, dc], axis=1)
-            dg = np.concatenate([dz, dr, dc * r], axis=1)
-            grad["u"] += before.T @ dg
-            grad["bu"] += dg.sum(0)
-            dh = np.where(keep, dn * z + dg @ p["u"].T, dh)
-        rows, order = x.reshape(-1), np.argsort(x.reshape(-1), kind="stable")
-        heads = np.flatnonzero(np.diff(rows[order], prepend=-1))
-        grad["e"] = np.zeros_like(p["e"])
+        slot = self.slot[target]
+        for c, lo, hi in classes:
+            s = out[lo:hi] @ p["w"][c]
+            s += p["b"][c]
+            loss += self.errors(s, slot[lo:hi])
+            grad["w"][c], grad["b"][c] = out[lo:hi].T @ s, s.sum(0)
+            back[lo:hi] += s @ p["w"][c].T
+        dout = np.zeros((length * streams, d), h.dtype)
+        dout[places] = back
+        dout = np.ascontiguousarray(dout.reshape(length, streams, d).transpose(0, 2, 1))
+        dh, da = np.zeros_like(h), np.empty_like(a)
+        for t in range(length - 1, -1, -1):
+            before, zr, c, g = steps[t]
+            dh += dout[t]
+            dc = c * c
+            np.subtract(1, dc, out=dc)
+            dc *= 1 - zr[:d]
+            dc *= dh
+            # of the two gates together: their own slopes times what each is worth
+            slope = 1 - zr
+            slope *= zr
+            worth = before - c
+            worth *= dh
+            slope[:d] *= worth
+            np.multiply(g[2 * d :], dc, out=worth)
+            slope[d:] *= worth
+            da[t, : 2 * d], da[t, 2 * d :] = slope, dc
+            # the gates' part of the state passes through dc and r alone
+            dc *= zr[d:]
+            dg = np.concatenate([slope, dc])
+            grad["u"] += before @ dg.T
+            grad["bu"] += dg.sum(1)
+            dh *= zr[:d]
+            dh += p["u"] @ dg
+            if starts[t]:
+                dh *= ~fresh[t]
+        da = np.ascontiguousarray(da.transpose(0, 2, 1))
+        rows = x.reshape(-1).astype(np.uint16)
+        order = np.argsort(rows, kind="stable")
+        heads = np.flatnonzero(np.diff(rows[order].astype(np.int32), prepend=-1))
         grad["e"][rows[order[heads]]] = np.add.reduceat(da.reshape(-1, 3 * d)[order], heads, axis=0)
-        return float(loss), {k: np.clip(v / n, -1, 1) for k, v in grad.items()}, h
+        for v in grad.values():
+            v /= n
+            np.clip(v, -1, 1, out=v)
+        return loss, grad, h
 
 
 class Trainer:
-    """Adam on segments of documents, several streams at a time."""
+    """Adam on documents side by side, each followed from window to window.
 
-    def __init__(self, net: Network):
-        self.net, self.t, self.tokens, self.waiting = net, 0, 0, []
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(2))
+    A stream holds one document after another; its state goes on from window to
+    window and begins anew with each document.
+    """
+
+    def __init__(self, net: Network, start: int):
+        self.net, self.start, self.t, self.tokens = net, start, 0, 0
+        self.m, self.v = (np.zeros(sum(x.size for x in net.p.values()), np.float32) for _ in range(2))
+        self.queue: deque[np.ndarray] = deque()
+        self.queued = 0
+        self.rest: list[np.ndarray | None] = [None] * STREAMS
+        self.state = np.zeros((HIDDEN, STREAMS), np.float32)
+
+    def add(self, symbols: np.ndarray) -> None:
+        for at in range(0, len(symbols), CARRIED):
+            # the symbol before the first, then all of them
+            self.queue.append(np.concatenate([symbols[at - 1 : at] if at else [self.start], symbols[at : at + CARRIED]]))
+        self.queued += len(symbols)
+        while self.queued >= STREAMS * REACH:
+            self.run()
 
-    def add(self, symbols: np.ndarray, before: int) -> None:
-        self.waiting.append(np.concatenate([[before], symbols]))
-        if len(self.waiting) >= STREAMS:
+    def finish(self) -> None:
+        while self.queue or any(r is not None for r in self.rest):
             self.run()
 
     def run(self) -> None:
-        if not self.waiting:
-            return
-        longest = max(map(len, self.waiting)) - 1
-        data = np.zeros((longest + 1, len(self.waiting)), np.int64)
-        mask = np.zeros((longest, len(self.waiting)), bool)
-        for i, s in enumerate(self.waiting):
-            data[: len(s), i] = s
-            mask[: len(s) - 1, i] = True
-        h = np.zeros((len(self.waiting), HIDDEN), np.float32)
-        for at in range(0, longest, WINDOW):
-            x, y, live = data[at : at + WINDOW][: longest - at], data[at + 1 : at + 1 + WINDOW], mask[at : at + WINDOW]
-            _, grad, h = self.net.gradients(x[: len(y)], y, live, h)
-            self.t += 1
+        """Lays out and trains up to REACH tokens of each stream."""
+        x, y = (np.zeros((REACH, STREAMS), np.int32) for _ in range(2))
+        fresh, used = np.zeros((REACH, STREAMS), bool), np.zeros(STREAMS, np.int64)
+        for i, held in enumerate(self.rest):
+            at = 0
+            while at < REACH:
+                if held is None:
+                    if not self.queue:
+                        break
+                    held = self.queue.popleft()
+                    self.queued -= len(held) - 1
+                    fresh[at, i] = True
+                n = min(REACH - at, len(held) - 1)
+                x[at : at + n, i], y[at : at + n, i] = held[:n], held[1 : n + 1]
+                at += n
+                held = held[n:] if n < len(held) - 1 else None
+            self.rest[i], used[i] = held, at
+        busy = np.flatnonzero(used)
+        x, y, fresh, used, state = x[:, busy], y[:, busy], fresh[:, busy], used[busy], self.state[:, busy]
+        for at in range(0, int(used.max(initial=0)), WINDOW):
+            on = np.flatnonzero(used > at)
+            spots = slice(at, min(at + WINDOW, int(used.max())))
+            cut = (spots, on)
+            live = np.arange(spots.start, spots.stop)[:, None] < used[on]
+            _, grad, state[:, on] = self.net.gradients(x[cut], y[cut], fresh[cut], None if live.all() else live, state[:, on])
             self.tokens += int(live.sum())
-            rate = RATE * math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
-            for k, g in grad.items():
-                self.m[k] += 0.1 * (g - self.m[k])
-                self.v[k] += 0.001 * (g * g - self.v[k])
-                self.net.p[k] -= rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-6)
-        self.waiting = []
+            self.update(np.concatenate([grad[k].reshape(-1) for k in self.net.p]))
+        self.state[:, busy] = state
+
+    def update(self, g: np.ndarray) -> None:
+        self.t += 1
+        rate = RATE * math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+        self.m += 0.1 * (g - self.m)
+        g *= g
+        g -= self.v
+        g *= 0.001
+        self.v += g
+        np.sqrt(self.v, out=g)
+        g += 1e-6
+        np.divide(self.m, g, out=g)
+        g *= rate
+        at = 0
+        for k, v in self.net.p.items():
+            self.net.p[k] = v - g[at : at + v.size].reshape(v.shape)
+            at += v.size
 
 
 def train(docs: DataFrame, words: Broadcast, rounds: int = ROUNDS) -> Network:
     """Rounds of local training on all training documents, weights averaged between them.
 
-    Each task trains a copy on all segments of each of its documents; Spark
+    Each task trains a copy on every token of each of its documents; Spark
     sums the copies' weights, each by the tokens it saw, and one weight vector
     reaches the driver.
     """
@@ -313,14 +412,12 @@ def train(docs: DataFrame, words: Broadcast, rounds: int = ROUNDS) -> Network:
             vocab = words.value
             own = Network(vocab.order)
             own.load(weights.value)
-            trainer, look, end, size = Trainer(own), vocab.lookup, vocab.symbols[END], WINDOW * WINDOWS
+            look, end = vocab.lookup, vocab.symbols[END]
+            trainer = Trainer(own, end)
             for batch in batches:
                 for t in batch.column("text").cast(pa.binary()):
-                    toks = tokens(t.as_py())
-                    symbols = np.append(look(toks)[0], end)
-                    for at in range(0, len(symbols), size):
-                        trainer.add(symbols[at : at + size], symbols[at - 1] if at else end)
-            trainer.run()
+                    trainer.add(np.append(look(tokens(t.as_py()))[0], end))
+            trainer.finish()
             if trainer.tokens:
                 yield pa.RecordBatch.from_arrays([pa.array([trainer.tokens], pa.int64()), pa.array([own.flat().tolist()], pa.list_(pa.float32()))], ["seen", "weights"])
 
@@ -336,14 +433,14 @@ def score_symbols(net: Network, texts: list[np.ndarray], start: int) -> np.ndarr
     order = np.argsort([-len(t) for t in texts], kind="stable")
     sizes = np.array([len(texts[i]) for i in order])
     flat, first = np.concatenate([texts[i] for i in order]), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    out, h, last = np.zeros(len(texts)), np.zeros((len(texts), HIDDEN), np.float32), np.full(len(texts), start)
+    out, h, last = np.zeros(len(texts)), np.zeros((HIDDEN, len(texts)), np.float32), np.full(len(texts), start)
     for at in range(0, int(sizes[0]), STEPS):
         states, targets, owners = [], [], []
         for t in range(at, min(at + STEPS, int(sizes[0]))):
             live = int(np.searchsorted(-sizes, -t, "left"))
-            h = net.step(last[:live], h[:live])[0]
+            h = net.step(last[:live], h[:, :live])
             last = flat[first[:live] + t]
-            states.append(h)
+            states.append(h.T)
             targets.append(last)
             owners.append(np.arange(live))
         got = net.log_probability(np.concatenate(states), np.concatenate(targets))
