@@ -65,7 +65,7 @@ def decode_entry(entry: Column) -> Column:
         F.when(fits, F.substring(entry, 1, 64)).alias("key"),
         F.when(fits, hex_u64(F.substring(entry, 65, 16))).alias("offset"),
         F.when(fits, hex_u64(F.substring(entry, 81, 16))).alias("length"),
-        F.when(~fits, F.format_string("data source is short %d", size.cast("long"))).alias("error"),
+        F.when(~fits, F.format_string("entry cut off after %d bytes", size.cast("long"))).alias("error"),
     )
 
 
@@ -111,7 +111,7 @@ def bloom_position(key: Column, n: Column, mb: float) -> Column:
     hashes add nothing. The word is a full unsigned 64-bit number.
     """
     if mb < 0:
-        raise ValueError("bloom filters cannot have a negative size")
+        raise ValueError("a filter has at least 0 megabytes")
     digits = key.substr((n * 8) % 24 * 2 + 1, F.lit(16))
     v = (F.conv(digits, 16, 10).cast("decimal(20,0)") % F.lit(int(1024 * 1024 * mb) << 8).cast("decimal(20,0)")).cast("long")
     return F.struct(F.shiftright(v, 8).alias("byte_index"), (v % 8).cast("int").alias("bit"))

@@ -11,14 +11,19 @@ from keyrill.operators.store import accepted_keys, first, latest
 
 
 def key_list(log: DataFrame, bins: int) -> DataFrame:
-    """bin, key of every live key; keys are in order within a bin."""
-    return accepted_keys(latest(log)).select(K.bin_of(F.col("key"), bins).alias("bin"), "key")
+    """bin, key of every live key."""
+    return live_keys(log).select(K.bin_of(F.col("key"), bins).alias("bin"), "key")
+
+
+def live_keys(log: DataFrame) -> DataFrame:
+    """key: the different keys alone, without values, so that little is shuffled."""
+    return accepted_keys(log).select("key").distinct()
 
 
 def offset_table(spark: SparkSession, state: DataFrame, bins: int) -> DataFrame:
-    """bin, offset: where each bin's entries start in the key file.
+    """bin, offset, n: where each bin's entries start in the key file, and how many there are.
 
-    The table has `bins` rows, a parameter; its window runs over them alone.
+    state: one row per key. The table has `bins` rows, a parameter; its window runs over them alone.
     """
     counts = accepted_keys(state).groupBy(K.bin_of(F.col("key"), bins).cast("long").alias("bin")).agg(F.count("*").alias("n"))
     table = spark.range(bins).withColumnRenamed("id", "bin").join(counts, "bin", "left")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyrill.functions.keys import NIL_KEY
-from keyrill.operators.scan import BLOCK, block_of
+from keyrill.operators.scan import BLOCK, part_of
 
 
 def latest(log: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -27,7 +27,7 @@ def first(log: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def accepted_keys(log: DataFrame) -> DataFrame:
-    """The log without puts of the nil key, which no store holds."""
+    """The log without puts of the nil key or a null one, which no store holds."""
     return log.where(F.col("key") != F.lit(NIL_KEY))
 
 
@@ -44,13 +44,13 @@ def immutable_outcome(log: DataFrame, width: int = BLOCK) -> DataFrame:
     outcome: inserted, noop (the first value again) or rejected. kv_outcome
     is that of a value store, where each repeat has a new pointer and is
     rejected. The first put meets the others in blocks of seq, so a hot key
-    is split over its blocks.
+    is split over its blocks. A null key is a key; a null seq comes first.
     """
-    rows = log.select("seq", "key", "value", block_of("seq", width).alias("__block"))
-    firsts = rows.groupBy("key", "__block").agg(F.min(F.struct("seq", "value")).alias("__first"))
-    firsts = firsts.withColumn("__first", F.min("__first").over(Window.partitionBy("key")))
-    rows = rows.join(firsts.select("key", "__block", F.col("__first.value").alias("__value"), F.col("__first.seq").alias("__seq")), ["key", "__block"])
-    new = F.col("seq") == F.col("__seq")
+    rows = log.select("seq", "key", "value", part_of(["key"], "seq", width).alias("__part"))
+    firsts = rows.groupBy("__part").agg(F.min(F.struct("seq", "value")).alias("__first"))
+    firsts = firsts.withColumn("__first", F.min("__first").over(Window.partitionBy(F.col("__part.key"))))
+    rows = rows.join(firsts.select("__part", F.col("__first.value").alias("__value"), F.col("__first.seq").alias("__seq")), "__part")
+    new = F.col("seq").eqNullSafe(F.col("__seq"))
     return rows.select(
         "seq", "key",
         F.when(new, "inserted").when(F.col("value").eqNullSafe(F.col("__value")), "noop").otherwise("rejected").alias("outcome"),

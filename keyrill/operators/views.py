@@ -55,3 +55,28 @@ def expiry(accesses: DataFrame, handle: str, ts: str, timeout_s: int) -> DataFra
     rows = rows.withColumn("__new", F.coalesce(idle.cast("long"), F.lit(0)))
     rows = rows.withColumn("session", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy(handle, "session").agg(F.min("__start").alias("start"), F.max("__end").alias("end"), F.sum("__n").alias("accesses"))
+
+
+def validity(accesses: DataFrame, handle: str, ts: str, timeout_s: int, closes: DataFrame | None = None) -> DataFrame:
+    """Add `valid` and `expires` to the accesses of view handles.
+
+    A handle expires `expires`, the timeout after the last access that found it
+    valid; from then on all accesses to it are invalid, for good. closes
+    (handle, closed_at): handles that were closed; later accesses are invalid
+    too. An access without a time is invalid. Each handle's life is found from
+    a row for each stretch of the timeout's length, as in expiry().
+    """
+    first = expiry(accesses.where(F.col(ts).isNotNull()), handle, ts, timeout_s).where("session = 0")
+    life = first.select(F.struct(F.col(handle).alias("h")).alias("__handle"), F.timestamp_add("SECOND", F.lit(timeout_s), F.col("end")).alias("__expires"))
+    rows = accesses.withColumn("__handle", F.struct(F.col(handle).alias("h"))).join(life, "__handle", "left")
+    if closes is not None:
+        shut = closes.groupBy(F.struct(F.col(handle).alias("h")).alias("__handle")).agg(F.min("closed_at").alias("__closed"))
+        rows = rows.join(shut, "__handle", "left").withColumn("__expires", F.least("__expires", "__closed")).drop("__closed")
+    valid = F.coalesce(F.col(ts) <= F.col("__expires"), F.lit(False))
+    return rows.withColumn("valid", valid).withColumn("expires", F.col("__expires")).drop("__handle", "__expires")
+
+
+def active(accesses: DataFrame, handle: str, ts: str, timeout_s: int, at: Column, closes: DataFrame | None = None) -> DataFrame:
+    """handle, active: whether a handle accessed by then is still alive at a time."""
+    rows = validity(accesses.where(F.col(ts) <= at), handle, ts, timeout_s, closes)
+    return rows.groupBy(handle).agg(F.coalesce(F.max("expires") >= at, F.lit(False)).alias("active"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from keyrill.functions import keys as K
 from keyrill.operators import bloom, compact, index, log, router, store, views
+from keyrill.operators.scan import running_total
 from keyrill.sources import logs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,9 +47,12 @@ def key_placement(spark, sf_dir):
     return rows.select("o_orderkey", "key", K.bin_of(F.col("key"), BINS).alias("bin"), K.shard_of(F.col("key")).alias("shard"))
 
 
+def _document_shards(spark, sf_dir):
+    return logs.document_log(spark, sf_dir).withColumn("shard", K.shard_of(F.col("key")))
+
+
 def _doc_offsets(spark, sf_dir):
-    rows = logs.document_log(spark, sf_dir).withColumn("shard", K.shard_of(F.col("key"))).drop("value")
-    return log.value_offsets(rows, ["shard"])
+    return log.value_offsets(_document_shards(spark, sf_dir).drop("value", "source"), ["shard"], share=["key", "length"])
 
 
 OFFSETS = f"of AS (SELECT seq, key, length, {SHARD} AS shard, CAST(coalesce(sum(length) OVER (PARTITION BY {SHARD} ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM dl)"
@@ -69,14 +73,55 @@ def entry_codec(spark, sf_dir):
 @query(f"WITH {DOC}, {OFFSETS}, tt AS (SELECT shard, sum(length) AS total FROM of GROUP BY shard) SELECT seq, key, \"offset\" + 2 * length <= total AS in_bounds, CAST(CASE WHEN \"offset\" + 2 * length <= total THEN 2 * length ELSE 0 END AS BIGINT) AS bytes_read FROM of JOIN tt USING (shard)")
 def range_read(spark, sf_dir):
     """Reads of twice each value's length, some of them past the end."""
-    rows = _doc_offsets(spark, sf_dir)
-    totals = logs.document_log(spark, sf_dir).groupBy(K.shard_of(F.col("key")).alias("shard")).agg(F.sum("length").alias("total_bytes"))
-    return log.range_reads(rows.withColumn("length", F.col("length") * 2), totals, ["shard"]).select("seq", "key", "in_bounds", "bytes_read")
+    rows = _document_shards(spark, sf_dir).drop("value", "source")
+    rows = running_total(rows, ["shard"], "seq", F.col("length"), "offset", total="total_bytes", share=["key", "length"])
+    return log.bounded(rows.withColumn("length", F.col("length") * 2), F.col("total_bytes")).select("seq", "key", "in_bounds", "bytes_read")
+
+
+RANGES = f"fl AS (SELECT shard, string_agg(hex(encode(value)), '' ORDER BY seq) AS h FROM (SELECT *, {SHARD} AS shard FROM dl) GROUP BY shard), rq AS (SELECT seq, shard, \"offset\" + length // 3 AS pos, 2 * length AS n FROM of)"
+
+
+@query(
+    f"WITH {DOC}, {OFFSETS}, {RANGES} "
+    "SELECT seq, CASE WHEN pos + n <= length(h) // 2 THEN sha256(substr(h, CAST(1 + 2 * pos AS BIGINT), CAST(2 * n AS BIGINT))) END AS sha FROM rq JOIN fl USING (shard)"
+)
+def range_bytes(spark, sf_dir):
+    """The bytes themselves, of reads that begin inside a value and reach over the next ones."""
+    rows = running_total(_document_shards(spark, sf_dir).drop("source"), ["shard"], "seq", F.col("length"), "offset")
+    asked = rows.select(F.col("seq").alias("request_id"), "shard", (F.col("offset") + F.floor(F.col("length") / 3)).alias("offset"), (2 * F.col("length")).alias("length"))
+    held = rows.select("shard", "offset", F.encode("value", "UTF-8").alias("data"))
+    return log.range_bytes(asked, held, ["shard"]).select(F.col("request_id").alias("seq"), F.sha2(F.hex("data"), 256).alias("sha"))
 
 
 @query(f"WITH {DOC}, c AS (SELECT seq, length, CAST(sum(length) OVER (PARTITION BY source ORDER BY seq) AS BIGINT) AS c FROM dl), f AS (SELECT seq, CASE WHEN c > 0 THEN (c + 32767) // 32768 - 1 ELSE 0 END AS flush_count, CASE WHEN c - length > 0 THEN (c - length + 32767) // 32768 - 1 ELSE 0 END AS before FROM c) SELECT seq AS doc_id, CAST(flush_count AS BIGINT) AS flush_count, flush_count > before AS updated FROM f")
 def bfile_flush_events(spark, sf_dir):
-    return log.flush_events(logs.document_log(spark, sf_dir).drop("value"), ["source"]).select(F.col("seq").alias("doc_id"), "flush_count", "updated")
+    return log.flush_events(logs.document_log(spark, sf_dir).select("seq", "length", "source"), ["source"]).select(F.col("seq").alias("doc_id"), "flush_count", "updated")
+
+
+FLUSHES = (
+    "f0 AS (SELECT *, seq % 50 = 0 AS flush, coalesce(sum(CAST(seq % 50 = 0 AS INTEGER)) OVER (PARTITION BY source ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stretch FROM dl), "
+    "f1 AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY source, stretch ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM f0), "
+    "f2 AS (SELECT *, CASE WHEN pos > 0 THEN (pos + 32767) // 32768 - 1 ELSE 0 END AS w0, CASE WHEN pos + length > 0 THEN (pos + length + 32767) // 32768 - 1 ELSE 0 END AS w FROM f1)"
+)
+
+
+@query(
+    f"WITH {DOC}, {FLUSHES} SELECT seq AS doc_id, CAST(coalesce(sum(CASE WHEN flush THEN w + 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + w + CAST(flush AS INTEGER) AS BIGINT) AS flush_count, w > w0 AS updated FROM f2"
+)
+def bfile_explicit_flush(spark, sf_dir):
+    """The file of a source is flushed after every document whose id is divisible by 50."""
+    rows = logs.document_log(spark, sf_dir).drop("value").withColumn("flush", F.col("seq") % 50 == 0)
+    return log.flush_events(rows, ["source"], flush="flush").select(F.col("seq").alias("doc_id"), "flush_count", "updated")
+
+
+SOURCES = "sn AS (SELECT seq, length, CASE WHEN seq % 5 <> 0 THEN source END AS source FROM dl)"
+
+
+@query(f"WITH {DOC}, {SOURCES} SELECT seq, source, CAST(coalesce(sum(length) OVER (PARTITION BY source ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM sn")
+def value_offsets_null_groups(spark, sf_dir):
+    """A fifth of the documents have no source: they are a file of their own."""
+    rows = logs.document_log(spark, sf_dir).select("seq", "length", F.when(F.col("seq") % 5 != 0, F.col("source")).alias("source"))
+    return log.value_offsets(rows, ["source"]).select("seq", "source", "offset")
 
 
 @query(f"WITH {EV} SELECT key, value, seq FROM {LATEST.format('ev')}")
@@ -105,13 +150,34 @@ def immutable_put_outcome_docs(spark, sf_dir):
 
 @query(f"WITH {EV}, {LAG} SELECT seq, key, action FROM rt")
 def kv2_route(spark, sf_dir):
-    return router.route(logs.event_log(spark, sf_dir)).select("seq", "key", "action")
+    return router.route(logs.event_log(spark, sf_dir).drop("length")).select("seq", "key", "action")
+
+
+EVNULL = EV.replace("sha256(CAST(user_id AS VARCHAR))", "CASE WHEN user_id % 7 <> 0 THEN sha256(CAST(user_id AS VARCHAR)) END")
+
+
+def _null_keys(spark, sf_dir):
+    """The events of every seventh user have a null key."""
+    rows = logs.table(spark, sf_dir, "events")
+    return rows.select(F.col("event_id").alias("seq"), F.when(F.col("user_id") % 7 != 0, K.key_of(F.col("user_id"))).alias("key"), F.col("event_type").alias("value"))
+
+
+@query(f"WITH {EVNULL}, {LAG} SELECT seq, key, action FROM rt")
+def kv2_route_null_keys(spark, sf_dir):
+    return router.route(_null_keys(spark, sf_dir)).select("seq", "key", "action")
+
+
+@query(
+    f"WITH {EVNULL}, f AS (SELECT *, first_value(value) OVER (PARTITION BY key ORDER BY seq) AS fv, min(seq) OVER (PARTITION BY key) AS fs FROM ev) "
+    "SELECT seq, key, CASE WHEN seq = fs THEN 'inserted' WHEN value = fv THEN 'noop' ELSE 'rejected' END AS outcome, CASE WHEN seq = fs THEN 'inserted' ELSE 'rejected' END AS kv_outcome FROM f"
+)
+def immutable_put_outcome_null_keys(spark, sf_dir):
+    return store.immutable_outcome(_null_keys(spark, sf_dir))
 
 
 @query(f"WITH {EV}, {LAG}, {PERM}, {DYNA} SELECT pm.key, coalesce(dn.value, pm.value) AS value FROM pm LEFT JOIN dn USING (key)")
 def kv2_get(spark, sf_dir):
-    rows = logs.event_log(spark, sf_dir)
-    return router.get(router.perm_layer(rows), router.dyna_layer(rows))
+    return router.get(logs.event_log(spark, sf_dir)).select("key", "value")
 
 
 @query(f"WITH {EV}, {PERM} SELECT key, value FROM pm")
@@ -126,8 +192,7 @@ def kv2_get_dyna(spark, sf_dir):
 
 @query(f"WITH {EV}, {LAG}, {PERM}, {DYNA} SELECT pm.key, pm.value AS perm_value, dn.value AS dyna_value FROM pm JOIN dn USING (key)")
 def kv2_shadowed_perm(spark, sf_dir):
-    rows = logs.event_log(spark, sf_dir)
-    return router.shadowed(router.perm_layer(rows), router.dyna_layer(rows))
+    return router.shadowed(logs.event_log(spark, sf_dir))
 
 
 @query(f"WITH {EV}, {LAG} SELECT {SHARD} AS shard, count(*) FILTER (action = 'DYNA_WRITE') AS dwrites, count(*) FILTER (action = 'PERM_INSERT') AS pwrites, count(*) FILTER (action LIKE 'NOOP%') AS noops FROM rt GROUP BY 1")
@@ -145,9 +210,34 @@ OPS = "m0 AS (SELECT seq, key, value, CASE seq % 3 WHEN 0 THEN 'put' WHEN 1 THEN
 
 @query(f"WITH {EV}, {OPS} SELECT seq, key, CASE WHEN op = 'put_perm' AND has_perm THEN 'PERM_REJECTED' WHEN changed THEN 'DYNA_WRITE' WHEN op = 'put_perm' OR rn = 1 THEN 'PERM_INSERT' WHEN has_dyna THEN 'NOOP_DYNA' ELSE 'NOOP_PERM' END AS action FROM mo")
 def kv2_mixed_ops(spark, sf_dir):
-    rows = logs.event_log(spark, sf_dir)
+    return router.mixed_ops(_mixed(spark, sf_dir)).select("seq", "key", "action")
+
+
+def _mixed(spark, sf_dir):
     op = F.when(F.col("seq") % 3 == 0, "put").when(F.col("seq") % 3 == 1, "put_dyna").otherwise("put_perm")
-    return router.mixed_ops(rows.withColumn("op", op)).select("seq", "key", "action")
+    return logs.event_log(spark, sf_dir).drop("length").withColumn("op", op)
+
+
+MIXED = (
+    "mp AS (SELECT key, arg_min(value, seq) AS value FROM mo WHERE (op = 'put_perm' AND NOT has_perm) OR (op = 'put' AND rn = 1) GROUP BY key), "
+    "md AS (SELECT key, arg_max(value, seq) AS value FROM mo WHERE changed GROUP BY key)"
+)
+
+
+@query(f"WITH {EV}, {OPS}, {MIXED} SELECT coalesce(md.key, mp.key) AS key, CASE WHEN md.key IS NOT NULL THEN md.value ELSE mp.value END AS value FROM mp FULL JOIN md ON mp.key = md.key")
+def kv2_mixed_get(spark, sf_dir):
+    """What a read finds after puts into either layer."""
+    return router.get(_mixed(spark, sf_dir)).select("key", "value")
+
+
+@query(f"WITH {EV}, {OPS}, {MIXED} SELECT key, value FROM mp")
+def kv2_mixed_get_perm(spark, sf_dir):
+    return router.perm_layer(_mixed(spark, sf_dir))
+
+
+@query(f"WITH {EV}, {OPS}, {MIXED} SELECT key, value FROM md")
+def kv2_mixed_get_dyna(spark, sf_dir):
+    return router.dyna_layer(_mixed(spark, sf_dir))
 
 
 def _table_sql(bins: int) -> str:
@@ -156,12 +246,12 @@ def _table_sql(bins: int) -> str:
 
 @query(f"WITH {OR}, {_table_sql(BINS)} SELECT bin, \"offset\", n FROM ft")
 def kfile_offset_table(spark, sf_dir):
-    return index.offset_table(spark, store.latest(logs.order_log(spark, sf_dir)), BINS)
+    return index.offset_table(spark, index.live_keys(logs.order_log(spark, sf_dir)), BINS)
 
 
 @query(f"WITH {OR}, {_table_sql(SMALL)} SELECT printf('%08x', 16) || printf('%08x', {8 * SMALL + 16}) || string_agg(printf('%016x', \"offset\"), '' ORDER BY bin) || printf('%016x', CAST({8 * SMALL + 16} + 48 * sum(n) AS BIGINT)) AS header_hex, 16 AS bins, {8 * SMALL + 16} AS header_size, CAST({8 * SMALL + 16} + 48 * sum(n) AS BIGINT) AS end_of_list FROM ft")
 def kfile_header_codec(spark, sf_dir):
-    table = index.offset_table(spark, store.latest(logs.order_log(spark, sf_dir)), SMALL)
+    table = index.offset_table(spark, index.live_keys(logs.order_log(spark, sf_dir)), SMALL)
     head = index.bin_header(table, SMALL)
     return head.withColumn("__h", K.decode_bin_header(F.col("header_hex"))).select("header_hex", "__h.bins", "__h.header_size", F.col("__h.end").alias("end_of_list"))
 
@@ -226,6 +316,19 @@ def view_expiry(spark, sf_dir):
     return views.expiry(rows, "user_id", "ts", 86400)
 
 
+LIVES = (
+    "a AS (SELECT user_id, ts, event_id, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 86400000000 THEN 1 ELSE 0 END AS n FROM events), "
+    "s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM a)"
+)
+
+
+@query(f"WITH {LIVES} SELECT user_id, event_id, session = 0 AS valid, max(CASE WHEN session = 0 THEN ts END) OVER (PARTITION BY user_id) + INTERVAL 1 DAY AS expires FROM s")
+def view_valid(spark, sf_dir):
+    """Users as view handles, their events as accesses: valid until the first day without one."""
+    rows = logs.table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    return views.validity(rows, "user_id", "ts", 86400).select("user_id", "event_id", "valid", "expires")
+
+
 def _bloom_sql(source: str, name: str) -> str:
     v = "CAST(CAST('0x' || substr(key, 1 + 16 * h, 16) AS UBIGINT) % (1048576 * 256) AS BIGINT)"
     return f"{name} AS (SELECT DISTINCT key, {v} // 256 AS byte_index, CAST({v} % 8 AS INTEGER) AS bit FROM {source}, (VALUES (0), (1), (2)) t(h))"
@@ -238,9 +341,28 @@ def bloom_bits(spark, sf_dir):
 
 @query(f"WITH {EV}, {_bloom_sql('ev', 'ps')}, bs AS (SELECT DISTINCT byte_index, bit FROM ps), ck AS (SELECT sha256(CAST(c_custkey AS VARCHAR)) AS key FROM customer), {_bloom_sql('ck', 'pc')} SELECT key, count(bs.bit) = count(*) AS maybe_present FROM pc LEFT JOIN bs USING (byte_index, bit) GROUP BY key")
 def bloom_probe(spark, sf_dir):
-    filter_bits = bloom.bits(logs.event_log(spark, sf_dir).select("key"))
+    bitmaps = bloom.build(logs.event_log(spark, sf_dir).select("key"))
     keys = logs.table(spark, sf_dir, "customer").select(K.key_of(F.col("c_custkey")).alias("key"))
-    return bloom.probe(filter_bits, keys)
+    return bloom.probe(bitmaps, keys)
+
+
+HISTORY = (
+    f"hk AS (SELECT key FROM gn JOIN (SELECT file, generation FROM gn GROUP BY 1, 2 HAVING count(*) = {LIMIT + 1}) USING (file, generation)), "
+    "ck AS (SELECT c_custkey AS probe_id, sha256(CAST(c_custkey AS VARCHAR)) AS key FROM customer)"
+)
+
+
+@query(
+    f"WITH {OR}, {GENS}, {HISTORY}, {_bloom_sql('hk', 'ps')}, bs AS (SELECT DISTINCT byte_index, bit FROM ps), {_bloom_sql('ck', 'pc')}, "
+    "mp AS (SELECT key, count(bs.bit) = count(*) AS maybe_present FROM pc LEFT JOIN bs USING (byte_index, bit) GROUP BY key), "
+    "hv AS (SELECT key, arg_min(value, seq) AS value FROM ol JOIN hk USING (key) GROUP BY key) "
+    "SELECT probe_id, ck.key, maybe_present, hv.key IS NOT NULL AS found, hv.value FROM ck JOIN mp USING (key) LEFT JOIN hv ON hv.key = ck.key"
+)
+def history_bloom_get(spark, sf_dir):
+    """Lookups in the history that ask its filter first."""
+    rows = index.pushed(_order_generations(spark, sf_dir), ["file"], LIMIT)
+    probes = logs.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("probe_id"), K.key_of(F.col("c_custkey")).alias("key"))
+    return bloom.filtered_get(probes, index.history_get(rows), bloom.build(rows.select("key")))
 
 
 @query(f"WITH {EV}, k AS (SELECT key, sum(length) AS a, arg_max(length, seq) AS l FROM ev GROUP BY key) SELECT {SHARD} AS shard, CAST(sum(l) AS BIGINT) AS live_bytes, CAST(sum(a) - sum(l) AS BIGINT) AS garbage_bytes FROM k GROUP BY 1")

@@ -1,10 +1,12 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from keyrill.functions import keys as K
 from keyrill.operators import bloom, index, log, router, store, views
 from keyrill.operators.router import Layers
+from keyrill.operators.scan import running_total
 from keyrill.sources import logs, storage
 from keyrill.streaming.router import expiry_stream, route_stream
 from tests.oracle import SF
@@ -31,7 +33,7 @@ def test_route_matches_model_across_blocks(spark):
 
 def test_layers_agree_with_latest(spark):
     df = puts(spark, random_log(300))
-    got = {r["key"]: r["value"] for r in router.get(router.perm_layer(df), router.dyna_layer(df)).collect()}
+    got = {r["key"]: r["value"] for r in router.get(df).collect()}
     assert got == {r["key"]: r["value"] for r in store.latest(df).collect()}
 
 
@@ -84,14 +86,112 @@ def test_entry_codec_and_short_entry(spark):
     row = spark.sql(f"SELECT '{'ab' * 32}' AS key, 5L AS offset, 7L AS length").select(K.encode_entry(F.col("key"), F.col("offset"), F.col("length")).alias("e"))
     e = row.select("e", K.decode_entry(F.col("e")).alias("d"), K.decode_entry(F.substring("e", 1, 20)).alias("s")).first()
     assert (e.d.key, e.d.offset, e.d.length, e.d.error) == ("ab" * 32, 5, 7, None)
-    assert e.s.error == "data source is short 10" and e.s.key is None
+    assert e.s.error == "entry cut off after 10 bytes" and e.s.key is None
 
 
 def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
     key = lambda a, b: spark.range(a, b).select(K.key_of(F.col("id")).alias("key"))
-    filter_bits = bloom.bits(key(0, 4000), 0.05)
-    assert bloom.probe(filter_bits, key(0, 4000), 0.05).where(~F.col("maybe_present")).count() == 0
-    assert bloom.probe(filter_bits, key(10000, 14000), 0.05).where("maybe_present").count() < 200
+    bitmaps = bloom.build(key(0, 4000), 0.05)
+    assert bloom.probe(bitmaps, key(0, 4000), 0.05).where(~F.col("maybe_present")).count() == 0
+    assert bloom.probe(bitmaps, key(10000, 14000), 0.05).where("maybe_present").count() < 200
+    assert bitmaps.count() <= 13 and bitmaps.select(F.sum(F.bitmap_count("bitmap"))).first()[0] == bloom.bits(key(0, 4000), 0.05).count()
+    for args in ((-1, 3), (1, 0)):
+        with pytest.raises(ValueError):
+            bloom.build(key(0, 1), *args)
+    probes = key(3998, 4002).withColumn("probe_id", F.lit(1)).unionByName(spark.createDataFrame([(None, 2)], "key string, probe_id int"))
+    got = bloom.filtered_get(probes, key(0, 4000).withColumn("value", F.lit("v")), bitmaps, 0.05).collect()
+    assert sorted((r.found, r.value or "") for r in got) == [(False, "")] * 3 + [(True, "v")] * 2
+
+
+def test_null_groups_and_seqs_lose_no_row(spark):
+    rows = [(1, None, 5), (2, "f", 7), (3, None, 1), (None, "f", 2), (None, None, 3), (4, "f", None), (9, "f", 4)]
+    df = spark.createDataFrame(rows, "seq long, file string, length long")
+    for width in (1, 2, 1 << 20):
+        got = running_total(df, ["file"], "seq", F.col("length"), "offset", width, total="all").collect()
+        assert sorted((str(r.file), r.seq or 0, r.offset, r["all"]) for r in got) == [("None", 0, 0, 9), ("None", 1, 3, 9), ("None", 3, 8, 9), ("f", 0, 0, 13), ("f", 2, 2, 13), ("f", 4, 9, 13), ("f", 9, 9, 13)]
+    assert log.flush_events(df, ["file"]).count() == index.generations(df, ["file"], 1).count() == 7
+
+
+def test_null_keys_lose_no_row(spark):
+    rows = [(i, None if r % 3 == 0 else f"{r % 5:064x}", v) for i, (r, v) in enumerate(zip(range(60), "abca" * 15, strict=True))]
+    states, want, first = {}, {}, {}
+    for seq, key, value in rows:
+        want[seq] = states.setdefault(key, Layers()).apply("put", value)
+        first.setdefault(key, value)
+    for width in (1, 8, 1 << 20):
+        assert {r.seq: r.action for r in router.route(puts(spark, rows), width).collect()} == want
+        got = {r.seq: r.outcome for r in store.immutable_outcome(puts(spark, rows), width).collect()}
+        assert len(got) == 60 and all(got[s] == "inserted" or got[s] == ("noop" if first[k] == v else "rejected") for s, k, v in rows)
+    assert {r.key: r.value for r in router.get(puts(spark, rows)).collect()} == {k: (s.dyna or s.perm)[0] for k, s in states.items()}
+
+
+def test_scan_reads_rows_once(spark, tmp_path):
+    spark.range(1000).selectExpr("id AS seq", "id % 7 AS file", "id % 100 AS length", "id AS more").write.parquet(str(tmp_path / "t"))
+    df = running_total(spark.read.parquet(str(tmp_path / "t")), ["file"], "seq", F.col("length"), "offset", share=["length", "more"])
+    assert df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1 and "Reused" in final
+    log = spark.read.parquet(str(tmp_path / "t")).selectExpr("seq", "cast(file AS string) AS key", "cast(length AS string) AS value")
+    df = router.route(log)
+    assert df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1 and "Reused" in final
+
+
+def test_explicit_flush_begins_a_block(spark):
+    df = spark.createDataFrame([(1, "f", 30000, True), (2, "f", 30000, None), (3, "f", 30000, True), (4, "f", 32768, False), (5, "g", 1, True), (6, "g", 0, True)], "seq long, file string, length long, flush boolean")
+    got = {r.seq: (r.flush_count, r.updated) for r in log.flush_events(df, ["file"], flush="flush").collect()}
+    assert got == {1: (1, False), 2: (1, False), 3: (3, True), 4: (3, False), 5: (1, False), 6: (2, False)}
+
+
+def test_range_bytes_against_the_file(spark):
+    r = random.Random(2)
+    values = [bytes(r.randrange(256) for _ in range(r.choice((0, 1, 7, 40, 300)))) for _ in range(60)]
+    files = {f: b"".join(v for i, v in enumerate(values) if i % 2 == f) for f in (0, 1)}
+    df = spark.createDataFrame([(i, i % 2, v, len(v)) for i, v in enumerate(values)], "seq long, file int, data binary, length long")
+    held = log.value_offsets(df, ["file"])
+    asked = [(n, n % 3 % 2 if n else 7, r.randrange(len(files[0])), r.choice((0, 1, 64, 65, 1000))) for n in range(120)]
+    rows = log.range_bytes(spark.createDataFrame(asked, "request_id long, file int, offset long, length long"), held, ["file"], block=64).collect()
+    got = {x.request_id: None if x.data is None else bytes(x.data) for x in rows}
+    for n, f, at, size in asked:
+        data = files.get(f, b"")
+        assert got[n] == (data[at : at + size] if at + size <= len(data) or not size else None), (n, f, at, size)
+
+
+def test_view_validity_closing_and_activity(spark):
+    at = [(1, 0), (1, 9), (1, 30), (1, 31), (2, 5), (2, 14), (None, 3), (3, None)]
+    df = spark.createDataFrame(at, "h int, s int").selectExpr("h", "timestamp_seconds(s) AS ts")
+    order = lambda rows: sorted((r.h or 0, r.ts.second if r.ts else -1, r.valid) for r in rows)
+    assert order(views.validity(df, "h", "ts", 10).collect()) == [(0, 3, True), (1, 0, True), (1, 9, True), (1, 30, False), (1, 31, False), (2, 5, True), (2, 14, True), (3, -1, False)]
+    closes = spark.sql("SELECT 2 AS h, timestamp_seconds(8) AS closed_at")
+    assert order(views.validity(df, "h", "ts", 10, closes).collect())[-2:] == [(2, 14, False), (3, -1, False)]
+    alive = lambda s: {r.h: r.active for r in views.active(df, "h", "ts", 10, F.timestamp_seconds(F.lit(s)), closes).collect()}
+    assert alive(7) == {1: True, 2: True, None: True} and alive(19) == {1: True, 2: False, None: False} and alive(31)[1] is False
+
+
+def test_key_files_round_trip(spark, tmp_path):
+    r = random.Random(9)
+    entries = [(f"{r.getrandbits(256):064x}", i, i % 90) for i in range(500)]
+    df = spark.createDataFrame(entries, "key string, offset long, length long").withColumn("shard", K.shard_of(F.col("key")) % 5)
+    files = storage.write_key_files(df, f"file://{tmp_path}/keys", 8).collect()
+    assert len(files) == 5 and sum(f.entries for f in files) == 500
+    back = storage.read_key_files(spark, [f.path for f in files]).collect()
+    assert sorted((x.key, x.offset, x.length) for x in back) == sorted(entries)
+    for f in files:
+        data = open(f.path.removeprefix("file://"), "rb").read()
+        head = spark.createDataFrame([(data[:80].hex(),)], "h string").select(K.decode_bin_header(F.col("h")).alias("d")).first().d
+        assert (head.bins, head.header_size, head.end) == (8, 80, len(data))
+        own = [(data[i : i + 32].hex(), i) for i in range(80, len(data), 48)]
+        assert [k for k, _ in own] == sorted((k for k, _ in own), key=lambda k: (int(k[:8], 16) % 8, k))
+        for b, start in enumerate(head.offsets):
+            assert all((i >= start) == (int(k[:8], 16) % 8 >= b) for k, i in own)
+    assert storage.write_key_files(df.limit(0), f"file://{tmp_path}/none", 8).count() == 0
+
+
+def test_entry_text_and_span_codec(spark):
+    row = spark.sql(f"SELECT '{'ab' * 32}' AS k, 5L AS o, 7L AS n")
+    assert row.select(K.describe_entry(F.col("k"), F.col("o"), F.col("n"))).first()[0] == f" Key {'ab' * 32}\n Off 5\n Len 7\n"
+    assert row.select(K.decode_span(K.encode_span(F.col("o"), F.col("n")))).first()[0][:] == (5, 7)
 
 
 def test_store_round_trip(spark, tmp_path):
