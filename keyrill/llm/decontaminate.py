@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -13,14 +14,18 @@ from pyspark.sql import DataFrame
 from keyrill.llm.shared import columns
 
 WORD = re.compile(r"\w+")
-#: Items of fewer words are sought word for word.
+#: Items of fewer words are found by their exact pieces, longer ones by hashing.
 SHORT = 8
 #: Items of twice so many words or more are sought by parts of at least so many.
 PART = 20
 #: Words of benchmark items that go to the tasks at once; a larger benchmark takes several passes.
 BLOCK_WORDS = 2_000_000
-#: Random walks, tables of each walk, and positions that a table samples.
-WALKS, TABLES, SAMPLED = 8, 6, 3
+#: Tables of each random walk, and positions that a table samples.
+TABLES, SAMPLED = 6, 3
+#: Numbers of walks that are tried until trials reach the target recall, and trials for each.
+WALKS, TRIALS = (4, 6, 8, 12, 16, 24, 32), 1000
+#: The share of matches at the full number of edits that hashing must find.
+RECALL = 0.995
 #: Texts that are searched together, so that their windows are embedded together.
 TEXTS = 256
 
@@ -30,7 +35,7 @@ def normal_words(text: str | None) -> list[str]:
 
 
 def edits_allowed(n: int, share: float) -> int:
-    return int(n * share + 1e-9) if n >= SHORT else 0
+    return int(n * share + 1e-9)
 
 
 def parts_of(n: int) -> list[tuple[int, int]]:
@@ -69,49 +74,83 @@ def best_alignment(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]
 class Walks:
     """Random CGK embeddings of word numbers and their sampling tables."""
 
-    def __init__(self, size: int, words: int, rng: np.random.Generator):
-        self.steps = 3 * size
+    def __init__(self, size: int, walks: int, rng: np.random.Generator):
+        self.walks = walks
         # steps late in a walk read mostly past both ends, where all agree
         reach = max(SAMPLED, int(1.6 * size))
-        self.taken = np.stack([np.stack([rng.choice(reach, SAMPLED, replace=False) for _ in range(TABLES)]) for _ in range(WALKS)])
-        self.bits = rng.integers(0, 2, (self.taken.max() + 1, WALKS * (words + 2)), dtype=np.int8)
+        self.taken = np.stack([np.stack([rng.choice(reach, SAMPLED, replace=False) for _ in range(TABLES)]) for _ in range(walks)])
+        self.salt = rng.integers(1 << 63, size=(int(self.taken.max()) + 1, walks, 1), dtype=np.uint64)
 
     def keys(self, rows: np.ndarray, base: int) -> np.ndarray:
-        """(WALKS * TABLES, rows) numbers of the words at the sampled steps; -1 if one is in no item or past the end.
+        """(walks * TABLES, rows) numbers of the words at the sampled steps; -1 if one is in no item or past the end.
 
-        A step reads the word at its place and moves on if the word's random
-        bit for that step says so, so insertions and deletions are soon in step
-        again and edit distance turns into Hamming distance.
+        A step reads the word at its place and moves on if a hash of the walk,
+        the step and the word says so, so insertions and deletions are soon in
+        step again and edit distance turns into Hamming distance. The hash
+        stands for a table of random bits, whose size would grow with the words.
         """
         n, width = rows.shape
         padded = np.concatenate([rows, np.full((n, 1), base - 1, rows.dtype)], axis=1).reshape(-1)
-        line, own = np.arange(n)[None] * (width + 1), np.arange(WALKS)[:, None] * base
-        at = np.zeros((WALKS, n), np.int64)
-        read = np.empty((len(self.bits), WALKS, n), np.int64)
-        for t in range(len(self.bits)):
+        line = np.arange(n)[None] * (width + 1)
+        at = np.zeros((self.walks, n), np.int64)
+        read = np.empty((len(self.salt), self.walks, n), np.int64)
+        for t, salt in enumerate(self.salt):
             read[t] = padded[line + at]
-            at = np.minimum(at + self.bits[t][read[t] + own], width)
-        got = read[self.taken, np.arange(WALKS)[:, None, None]]  # walk, table, sample, row
+            mixed = read[t].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ salt
+            mixed ^= mixed >> np.uint64(31)
+            mixed *= np.uint64(0xD6E8FEB86659FD93)
+            at = np.minimum(at + (mixed >> np.uint64(63)).astype(np.int64), width)
+        got = read[self.taken, np.arange(self.walks)[:, None, None]]  # walk, table, sample, row
         known = ((got > 0) & (got < base - 1)).all(2)
         key = got[:, :, 0].copy()
         for i in range(1, SAMPLED):
             key = key * base + got[:, :, i]
         return np.where(known, key, -1).reshape(-1, n)
 
+    def recall(self, size: int, stride: int, lengths: list[int], share: float, rng: np.random.Generator) -> float:
+        """The share of trials in which an item and a stretch at all its allowed edits collide, wherever windows start."""
+        words, items, wins = 4 * size + 50, [], []
+        for n in range(TRIALS):
+            item = rng.integers(1, words, lengths[n % len(lengths)])
+            stretch = item.tolist()
+            for _ in range(edits_allowed(len(item), share)):
+                at, kind = int(rng.integers(len(stretch) + 1)), rng.integers(3)
+                stretch[at : at + (kind < 2)] = [int(rng.integers(1, words))] if kind else []
+            lead = int(rng.integers(2 * stride))
+            around = [*rng.integers(1, words, lead).tolist(), *stretch, *rng.integers(1, words, 2 * size).tolist()]
+            items.append(np.pad(item, (0, max(lengths) - len(item)), constant_values=words))
+            wins += [around[at : at + size] for at in range(0, 3 * stride, stride)]
+        a = self.keys(np.array(items), words + 1)
+        b = self.keys(np.array(wins), words + 1).reshape(len(a), TRIALS, 3)
+        return float(((a[:, :, None] == b) & (b >= 0)).any((0, 2)).mean())
+
+
+def walks_for(size: int, stride: int, lengths: list[int], share: float, recall: float, rng: np.random.Generator) -> Walks:
+    """As few walks as reach the recall in trials; the most there are if none do."""
+    for n in WALKS:
+        walks = Walks(size, n, rng)
+        if walks.recall(size, stride, lengths, share, rng) >= recall:
+            break
+    return walks
+
 
 class Benchmark:
     """Items prepared for search; goes to the tasks as a broadcast."""
 
-    def __init__(self, items: list[tuple], share: float, seed: int = 17):
+    def __init__(self, items: list[tuple], share: float, recall: float = RECALL, seed: int = 17):
         items = [(i, words) for i, words in items if words]
-        self.share, self.ids = share, [i for i, _ in items]
+        self.share, self.recall, self.ids = share, recall, [i for i, _ in items]
         self.words = {w: n for n, w in enumerate(dict.fromkeys(w for _, words in items for w in words), 1)}
         self.base = len(self.words) + 2
         self.items = [np.array([self.words[w] for w in words], np.int64) for _, words in items]
-        self.short = {}
+        #: by their first word: the exact pieces of short items, one of which any match must hold
+        self.short: dict[int, list[tuple[int, int, np.ndarray]]] = {}
         for n, x in enumerate(self.items):
             if len(x) < SHORT:
-                self.short.setdefault(int(x[0]), []).append(n)
+                cuts = np.linspace(0, len(x), edits_allowed(len(x), share) + 2).astype(int).tolist()
+                for a, b in pairwise(cuts):
+                    if b > a:
+                        self.short.setdefault(int(x[a]), []).append((n, a, x[a:b]))
         self.grams = np.unique(np.concatenate([self.gram_numbers(x) for x in self.items if len(x) >= SHORT] or [np.array([], np.int64)]))
         #: item, start and end of each part
         self.parts = [(n, a, b) for n, x in enumerate(self.items) if len(x) >= SHORT for a, b in parts_of(len(x))]
@@ -140,7 +179,7 @@ class Benchmark:
         rows = np.full((len(mine), max(map(len, words))), self.base - 1, np.int64)
         for i, w in enumerate(words):
             rows[i, : len(w)] = w
-        walks = Walks(size, len(self.words), rng)
+        walks = walks_for(size, stride, sorted({len(w) for w in words}), self.share, self.recall, rng)
         tables = []
         for keys in walks.keys(rows, self.base):
             order = np.argsort(keys, kind="stable")
@@ -228,9 +267,21 @@ class Benchmark:
         return [self.apart(f) for f in found]
 
     def short_matches(self, x: np.ndarray) -> list[Match]:
-        out = []
-        for at in np.flatnonzero(np.isin(x, list(self.short))) if self.short else ():
-            out += [Match(n, int(at), int(at) + len(self.items[n]), 0) for n in self.short[int(x[at])] if np.array_equal(x[at : at + len(self.items[n])], self.items[n])]
+        """Short items: of so many edits and one piece more than that, some piece stands in the text word for word."""
+        out, seen = [], set()
+        for at in np.flatnonzero(np.isin(x, list(self.short))).tolist() if self.short else ():
+            for n, a, piece in self.short[int(x[at])]:
+                if not np.array_equal(x[at : at + len(piece)], piece):
+                    continue
+                item = self.items[n]
+                k = edits_allowed(len(item), self.share)
+                lo, hi = max(0, at - a - k), min(len(x), at - a + len(item) + k)
+                if (n, lo, hi) in seen:
+                    continue
+                seen.add((n, lo, hi))
+                edits, a, b = best_alignment(item, x[lo:hi]) if k else (0 if np.array_equal(x[lo:hi], item) else 1, 0, hi - lo)
+                if edits <= k:
+                    out.append(Match(n, lo + a, lo + b, edits))
         return out
 
     def apart(self, found: list[Match]) -> list[Match]:
@@ -241,31 +292,34 @@ class Benchmark:
         return sorted((m for own in kept.values() for m in own), key=lambda m: (m.start, m.item))
 
 
-def benchmark_blocks(items: DataFrame, share: float, item_id: str, text: str) -> Iterator[Benchmark]:
+def benchmark_blocks(items: DataFrame, share: float, recall: float, item_id: str, text: str) -> Iterator[Benchmark]:
+    """Items in blocks of at most BLOCK_WORDS words and one item; one block is held at a time."""
     block, size = [], 0
     for r in columns(items, item_id=item_id, text=text).toLocalIterator():
         words = normal_words(r["text"])
         if block and size + len(words) > BLOCK_WORDS:
-            yield Benchmark(block, share)
+            yield Benchmark(block, share, recall)
             block, size = [], 0
         block.append((r["item_id"], words))
         size += len(words)
-    yield Benchmark(block, share)
+    yield Benchmark(block, share, recall)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, edits: float = 0.2, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, edits: float = 0.2, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, start_word, end_word, edits: where documents hold benchmark items.
 
     Words are runs of letters, digits and underscores, in lower case. A
     stretch of a document is an item's if it is at most `edits` times the
-    item's words away in edit distance; items of under SHORT words must stand
-    there word for word. Null and empty texts and items hold nothing; equal
+    item's words away in edit distance. Items of under SHORT words are all
+    found; of longer ones hashing finds the share `recall` even where all
+    allowed edits are used, which trials with random words settle, and more
+    where fewer are. Null and empty texts and items hold nothing; equal
     items and repeated rows are each reported.
     """
     spark, source = docs.sparkSession, columns(docs, doc_id=doc_id, text=text)
     kinds = f"doc_id {dict(docs.dtypes)[doc_id]}, item_id {dict(items.dtypes)[item_id]}, start_word int, end_word int, edits int"
     out = None
-    for block in benchmark_blocks(items, edits, item_id, item_text):
+    for block in benchmark_blocks(items, edits, recall, item_id, item_text):
         shipped = spark.sparkContext.broadcast(block)
 
         def each(batches: Iterable[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
@@ -283,9 +337,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, edits: float = 0.2, doc_id: st
     return out
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, edits: float = 0.2, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def drop_leaks(docs: DataFrame, items: DataFrame, edits: float = 0.2, recall: float = RECALL, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents in which find_leaks would find nothing, with all their columns."""
-    for block in benchmark_blocks(items, edits, item_id, item_text):
+    for block in benchmark_blocks(items, edits, recall, item_id, item_text):
         shipped = docs.sparkSession.sparkContext.broadcast(block)
 
         def each(batches: Iterable[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:

@@ -108,3 +108,36 @@ def test_some_part_is_within_its_edits():
         assert [a for a, _ in parts] == [0, *(b for _, b in parts[:-1])] and parts[-1][1] == n
         assert len(parts) == 1 or min(b - a for a, b in parts) >= dc.PART
         assert sum(dc.edits_allowed(b - a, 0.2) + 1 for a, b in parts) > dc.edits_allowed(n, 0.2)
+
+
+def test_short_items_within_their_edits():
+    """All of the brute force's matches, for every length below SHORT and several shares."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(12)]
+    for share in (0.0, 0.2, 0.45):
+        items = [(i, rng.choices(words, k=1 + i % 7)) for i in range(40)]
+        bench = dc.Benchmark(items, share)
+        texts = [rng.choices(words, k=rng.randint(0, 30)) for _ in range(60)]
+        for text, found in zip(texts, bench.search([" ".join(t) for t in texts]), strict=True):
+            got = {m.item for m in found}
+            assert got == {n for n, (_, item) in enumerate(items) if brute_force(item, text) <= int(len(item) * share + 1e-9)}
+            for m in found:
+                assert brute_force(items[m.item][1], text[m.start : m.end]) <= m.edits
+
+
+def test_recall_is_a_parameter():
+    rng = random.Random(4)
+    items = [(i, [f"w{rng.randrange(3000)}" for _ in range(30)]) for i in range(40)]
+    few, many = (dc.Benchmark(items, 0.2, recall=r) for r in (0.5, 0.995))
+    walks = lambda b: [c[5].walks for c in b.classes]
+    assert max(walks(few)) < max(walks(many))
+    size, stride, *_ = many.classes[0]
+    trial = many.classes[0][5].recall(size, stride, [30], 0.2, np.random.default_rng(1))
+    assert trial >= 0.97
+
+
+def test_size_does_not_grow_with_the_words():
+    import pickle
+
+    items = [(i, [f"w{i * 500 + j}" for j in range(500)]) for i in range(40)]
+    assert len(pickle.dumps(dc.Benchmark(items, 0.2).classes)) < 3_000_000
