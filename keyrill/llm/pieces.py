@@ -3,36 +3,29 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+from pyarrow import fs, parquet
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2
 
-from keyrill.llm.shared import columns
+from keyrill.llm.shared import columns, new_path
 
 MARK = "▁"
 #: Chunks: a run of markers with what follows up to the next marker or line end, or a line end.
 CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}\n]*|[^ {MARK}\n]+|\n")
-#: Distinct chunks that a worker's table holds before it starts anew.
-TABLE = 150_000
+#: Distinct chunks, and characters in them, that a task lists before it passes them on.
+LISTED, LISTED_CHARS = 1_000_000, 1 << 25
 ROWS = 256
 
 
-class ChunkTable(dict):
-    """chunk -> its ids as int32 bytes; a chunk is segmented when first met."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= TABLE:
-            self.clear()
-        ids = self[chunk] = np.array(self.encode(chunk), np.int32).tobytes()
-        return ids
+def chunks_of(text: str) -> list[str]:
+    """A text's chunks in order; the marker that the library puts first is the first chunk's."""
+    return CHUNK.findall(" " + text) if text else []
 
 
 class PieceCodec:
@@ -57,14 +50,26 @@ class PieceCodec:
             and not any(p.type == 4 or re.search(f"[^{MARK}]{MARK}", p.piece) or "\n" in p.piece for p in spec.pieces)
         )
         norm.add_dummy_prefix = False
-        self.table = ChunkTable(sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString()).encode)
+        self.single = sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
         self.end = np.array([self.whole.eos_id()], np.int32).tobytes()
 
-    def encode(self, text: str) -> np.ndarray:
+    def segment(self, chunk: str) -> bytes:
+        """A chunk's ids as int32 bytes."""
+        return np.array(self.single.encode(chunk), np.int32).tobytes()
+
+    def encode(self, text: str, table: dict[str, bytes] | None = None) -> np.ndarray:
+        """A text's ids, its chunks' ids from the table; a chunk that is not there is segmented and added."""
         if not self.by_chunk:
             return np.array(self.whole.encode(text, add_eos=True), np.int32)
-        chunks = CHUNK.findall(" " + text) if text else ()
-        return np.frombuffer(b"".join([*map(self.table.__getitem__, chunks), self.end]), np.int32)
+        table = {} if table is None else table
+        chunks = chunks_of(text)
+        try:
+            return np.frombuffer(b"".join([*map(table.__getitem__, chunks), self.end]), np.int32)
+        except KeyError:
+            for c in chunks:
+                if c not in table:
+                    table[c] = self.segment(c)
+            return np.frombuffer(b"".join([*map(table.__getitem__, chunks), self.end]), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         return self.whole.decode(ids.tolist())
@@ -81,24 +86,91 @@ def codec(model: bytes) -> PieceCodec:
     return _CODECS[model]
 
 
+def listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """task, chunk: the distinct chunks of a task's texts; some come again after a full list was passed on."""
+    task, seen, chars = TaskContext.get().partitionId(), set(), 0
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), task, np.int32)), pa.array(list(seen), pa.string())], ["task", "chunk"])
+
+    for batch in batches:
+        for t in batch.column("text").to_pylist():
+            seen.update(chunks_of(t or ""))
+            chars += len(t or "")
+            # as many characters were read, so the list can't hold more
+            if len(seen) > LISTED or chars > LISTED_CHARS and (chars := sum(map(len, seen))) > LISTED_CHARS:
+                yield out()
+                seen, chars = set(), 0
+    if seen:
+        yield out()
+
+
+def _segmented(model: bytes) -> Callable:
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, last, ids = codec(model), None, b""
+        for batch in batches:
+            found = []
+            for chunk in batch.column("chunk").to_pylist():
+                if chunk != last:
+                    last, ids = chunk, c.segment(chunk)
+                found.append(ids)
+            yield pa.RecordBatch.from_arrays([batch.column("task"), batch.column("chunk"), pa.array(found, pa.binary())], ["task", "chunk", "ids"])
+
+    return each
+
+
+def chunk_table(docs: DataFrame, model: bytes) -> str:
+    """The folder of the table of distinct chunks: task, chunk, ids, a folder inside for each task.
+
+    Each task lists its distinct chunks, so a frequent chunk has a row for each
+    task and no more. Rows are put in order of the chunk, and each distinct
+    chunk of the corpus is segmented once; its ids go back to the tasks that
+    listed it. Texts and their ids are not shuffled.
+    """
+    rows = docs.select("doc_id", "text").mapInArrow(listed, "task int, chunk string")
+    rows = rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_segmented(model), "task int, chunk string, ids binary")
+    path = new_path(docs.sparkSession, "chunks")
+    rows.repartition("task").write.partitionBy("task").parquet(path)
+    return path
+
+
+def own_chunks(path: str, task: int) -> dict[str, bytes]:
+    """chunk -> ids of the chunks that a task listed."""
+    store, root = fs.FileSystem.from_uri(path)
+    files = store.get_file_info(fs.FileSelector(f"{root}/task={task}", allow_not_found=True))
+    table: dict[str, bytes] = {}
+    for file in files:
+        if file.path.endswith(".parquet"):
+            with store.open_input_file(file.path) as source:
+                for batch in parquet.ParquetFile(source).iter_batches(columns=["chunk", "ids"]):
+                    table.update(zip(batch.column("chunk").to_pylist(), batch.column("ids").to_pylist(), strict=True))
+    return table
+
+
 def encode_decode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids array<int>, decoded string: one row per row, whole texts.
 
-    Null texts count as empty: an end id alone. The model's bytes go to the
-    tasks; a worker's table keeps its chunks from task to task, so that it
-    segments a word once while the table has room.
+    Null texts count as empty: an end id alone. Where a model's pieces can't
+    cross a chunk's border, ids come from chunk_table(): a task that reads the
+    texts a second time has its chunks' ids at hand and joins them by their
+    position in the text. If a task then reads other texts than the one of its
+    number did at first, as after a shuffle that is planned anew, it segments
+    the chunks it misses itself; ids are the same.
     """
     with open(model_path, "rb") as file:
         model = file.read()
+    rows = columns(docs, doc_id=doc_id, text=text)
+    path = chunk_table(rows, model) if codec(model).by_chunk else None
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
+        table = own_chunks(path, TaskContext.get().partitionId()) if path else {}
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                ids = [c.encode(t or "") for t in part.column("text").to_pylist()]
+                ids = [c.encode(t or "", table) for t in part.column("text").to_pylist()]
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 arrays = [part.column("doc_id"), pa.ListArray.from_arrays(ends, np.concatenate(ids)), pa.array([c.decode(x) for x in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "ids", "decoded"])
 
-    return columns(docs, doc_id=doc_id, text=text).mapInArrow(each, f"doc_id {dict(docs.dtypes)[doc_id]}, ids array<int>, decoded string")
+    return rows.mapInArrow(each, f"doc_id {dict(docs.dtypes)[doc_id]}, ids array<int>, decoded string")

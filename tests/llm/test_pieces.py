@@ -1,6 +1,8 @@
 import hashlib
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -34,10 +36,34 @@ def test_any_text_as_the_library(text):
     assert CODEC.decode(ids) == LIBRARY.decode(ids.tolist())
 
 
-def test_full_table_starts_anew(monkeypatch):
-    monkeypatch.setattr(pieces, "TABLE", 3)
-    text = "one two three four five one two  three\n\nfour"
-    assert CODEC.encode(text).tolist() == LIBRARY.encode(text, add_eos=True)
+def test_each_distinct_chunk_is_segmented_once(spark, monkeypatch):
+    texts = ["one two three", "two three four", None, "", "three  three\none", "one " * 500] * 5
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = spark.read.parquet(pieces.chunk_table(df, open(PATH, "rb").read())).collect()
+    want = {c for t in texts for c in pieces.chunks_of(t or "")}
+    assert {r.chunk for r in rows} == want
+    assert len({(r.task, r.chunk) for r in rows}) == len(rows) <= 4 * len(want)
+    assert all(np.frombuffer(r.ids, np.int32).tolist() == CODEC.single.encode(r.chunk) for r in rows)
+    # one run of equal chunks is segmented once
+    seen = []
+    monkeypatch.setattr(CODEC, "segment", lambda c: (seen.append(c), b"\0\0\0\0")[1])
+    batch = pa.RecordBatch.from_pydict({"task": [1, 2, 3], "chunk": [" a", " a", " b"]})
+    list(pieces._segmented(open(PATH, "rb").read())([batch, batch.slice(2, 1)]))
+    assert seen == [" a", " b"]
+
+
+def test_lists_are_passed_on_when_full(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "LISTED", 3)
+    monkeypatch.setattr(pieces.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 7})())
+    batch = pa.RecordBatch.from_pydict({"text": ["one two three four five", "one two", None, "six"]})
+    out = list(pieces.listed([batch]))
+    assert len(out) == 2 and {c for b in out for c in b.column("chunk").to_pylist()} == {f" {w}" for w in "one two three four five six".split()}
+
+
+def test_missing_chunks_are_segmented_where_they_are_met():
+    table = {" one": CODEC.segment(" one")}
+    assert CODEC.encode("one two one", table).tolist() == LIBRARY.encode("one two one", add_eos=True)
+    assert set(table) == {" one", " two"}
 
 
 def test_nulls_long_and_empty(spark):
