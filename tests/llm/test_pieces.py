@@ -39,8 +39,9 @@ def test_any_text_as_the_library(text):
 def test_each_distinct_chunk_is_segmented_once(spark, monkeypatch):
     texts = ["one two three", "two three four", None, "", "three  three\none", "one " * 500] * 5
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    rows = spark.read.parquet(pieces.chunk_table(df, open(PATH, "rb").read())).collect()
-    want = {c for t in texts for c in pieces.chunks_of(t or "")}
+    model = open(PATH, "rb").read()
+    rows = spark.read.parquet(pieces.chunk_table(df, model, spark.sparkContext.broadcast({" one": b""}))).collect()
+    want = {c for t in texts for c in pieces.chunks_of(t or "")} - {" one"}
     assert {r.chunk for r in rows} == want
     assert len({(r.task, r.chunk) for r in rows}) == len(rows) <= 4 * len(want)
     assert all(np.frombuffer(r.ids, np.int32).tolist() == CODEC.single.encode(r.chunk) for r in rows)
@@ -48,7 +49,7 @@ def test_each_distinct_chunk_is_segmented_once(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(CODEC, "segment", lambda c: (seen.append(c), b"\0\0\0\0")[1])
     batch = pa.RecordBatch.from_pydict({"task": [1, 2, 3], "chunk": [" a", " a", " b"]})
-    list(pieces._segmented(open(PATH, "rb").read())([batch, batch.slice(2, 1)]))
+    list(pieces._segmented(model, "task")([batch, batch.slice(2, 1)]))
     assert seen == [" a", " b"]
 
 
@@ -56,8 +57,16 @@ def test_lists_are_passed_on_when_full(spark, monkeypatch):
     monkeypatch.setattr(pieces, "LISTED", 3)
     monkeypatch.setattr(pieces.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 7})())
     batch = pa.RecordBatch.from_pydict({"text": ["one two three four five", "one two", None, "six"]})
-    out = list(pieces.listed([batch]))
-    assert len(out) == 2 and {c for b in out for c in b.column("chunk").to_pylist()} == {f" {w}" for w in "one two three four five six".split()}
+    out = list(pieces._listed(spark.sparkContext.broadcast({" six": b""}))([batch]))
+    assert len(out) == 2 and {c for b in out for c in b.column("chunk").to_pylist()} == {f" {w}" for w in "one two three four five".split()}
+
+
+def test_frequent_chunks_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "HEAD_SHARE", 1)
+    df = spark.createDataFrame([(f"a a a a b b b c c d {i} " + "x" * 99,) for i in range(30)], "text string")
+    for head, want in ((0, set()), (1, {" a"}), (3, {" a", " b", " c"}), (1000, {" a", " b", " c", " d"})):
+        got = pieces.frequent_chunks(df, open(PATH, "rb").read(), head)
+        assert set(got) == want and all(np.frombuffer(v, np.int32).tolist() == CODEC.single.encode(k) for k, v in got.items())
 
 
 def test_missing_chunks_are_segmented_where_they_are_met():
