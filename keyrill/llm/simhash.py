@@ -135,8 +135,10 @@ def signed(rows: DataFrame, shingle: int = 5, tables: int = TABLES) -> DataFrame
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_hashes(t.as_py() or b"", shingle) for t in batch.column("text").cast(pa.binary())]
-            prints = [signature(x, tables * WIDTH).view("<u4").astype(np.int64).tolist() if len(x) else None for x in found]
+            prints = []
+            for t in batch.column("text").cast(pa.binary()):
+                x = shingle_hashes(t.as_py() or b"", shingle)
+                prints.append(signature(x, tables * WIDTH).view("<u4").astype(np.int64).tolist() if len(x) else None)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array(prints, pa.list_(pa.int64()))], names=[*keys, "prints"])
 
     return rows.select(*keys, "text").mapInArrow(each, StructType([*kept, StructField("prints", ArrayType(LongType()))]))
@@ -171,25 +173,18 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int = 5, similarity: f
 
     def hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_hashes(t.as_py(), shingle).tobytes() for t in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("u"), pa.array(found, pa.binary())], ["u", "hashes"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [shingle_hashes(t.as_py(), shingle).view(np.int64) for t in part.column("text").cast(pa.binary())]
+                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("u"), pa.ListArray.from_arrays(ends, np.concatenate(found))], ["u", "hashes"])
 
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-                # a set that is too small beside the other can't be alike
-                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared >= similarity * (len(x) + len(y) - shared))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    held = cut(texts.select("u", "text").mapInArrow(hashes, "u long, hashes binary"), "shingles")
+    held = cut(texts.select("u", "text").mapInArrow(hashes, "u long, hashes array<long>"), "shingles")
     both = pairs.join(held.select("u", F.col("hashes").alias("a")), "u").join(held.select(F.col("u").alias("v"), F.col("hashes").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
+    # a set that is too small beside the other can't be alike
+    both = both.where(F.least(F.size("a"), F.size("b")) >= similarity * F.greatest(F.size("a"), F.size("b")))
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
 
 def similar_pairs(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, tables: int = TABLES) -> DataFrame:
