@@ -121,8 +121,8 @@ def label_model(patterns: dict[tuple[int, ...], int], family: np.ndarray = FAMIL
     kind abstain the document can't be of that kind. Several labellers know each
     kind, so one that is often alone with a bad vote is found to be wrong and
     one that is silent where the others agree is found to miss. It starts from
-    belief where two labellers of a kind agree; nothing holds the rates but
-    one vote's worth of counts to keep them from 0 and 1.
+    belief where two labellers of a kind agree; small prior counts alone keep
+    the rates from 0 and 1.
     """
     kinds = int(family.max())
     keys = sorted(patterns)
