@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from keyrill.llm.shared import columns
+from keyrill.llm.shared import columns, map_rows
 
 WORD = re.compile(r"\w+")
 #: Items of fewer words are found by their exact pieces, longer ones by hashing.
@@ -348,5 +348,5 @@ def drop_leaks(docs: DataFrame, items: DataFrame, edits: float = 0.2, recall: fl
                     part = batch.slice(at, TEXTS)
                     yield part.filter(pa.array([not found for found in shipped.value.search(part.column(text).to_pylist())], pa.bool_()))
 
-        docs = docs.mapInArrow(each, docs.schema)
+        docs = map_rows(docs, each, [])
     return docs

@@ -8,9 +8,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField
 
-from keyrill.llm.shared import columns, cut, quoted
+from keyrill.llm.shared import columns, cut, map_rows, quoted
 
 #: Boilerplate lines whose hashes may go to every task: 16 bytes each, so some 100 MB in a worker at most.
 BROADCAST_LINES = 500_000
@@ -93,7 +93,7 @@ def _remove_by_table(docs: DataFrame, table: dict[int, int], doc_id: str, text:
             yield pa.RecordBatch.from_arrays([*arrays, pa.array([n for _, n in found], pa.int64())], names=[*batch.schema.names, "n_removed"])
 
     kept = docs.select(*_own(docs))
-    return kept.mapInArrow(each, StructType([*kept.schema.fields, StructField("n_removed", LongType())]))
+    return map_rows(kept, each, [StructField("n_removed", LongType())])
 
 
 def _remove_by_join(docs: DataFrame, lines: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:

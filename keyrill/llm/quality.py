@@ -13,9 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StructField
 
-from keyrill.llm.shared import quoted
+from keyrill.llm.shared import map_rows, quoted
 
 #: Votes of a labeller.
 ABSTAIN, GOOD, BAD = 0, 1, 2
@@ -224,4 +224,4 @@ def classify(docs: DataFrame, text: str = "text", threshold: float = 0.5, sample
             q = [score(t.as_py() or b"", w.value) for t in batch.column(text).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(q, pa.float64()), pa.array([x >= threshold for x in q], pa.bool_())], names=[*batch.schema.names, "quality", "accepted"])
 
-    return kept.mapInArrow(each, StructType([*kept.schema.fields, StructField("quality", DoubleType()), StructField("accepted", BooleanType())]))
+    return map_rows(kept, each, [StructField("quality", DoubleType()), StructField("accepted", BooleanType())])

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +55,19 @@ def columns(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*[df[quoted(c)].alias(name) for name, c in wanted.items()])
 
 
+def map_rows(rows: DataFrame, each: Callable, added: list[StructField]) -> DataFrame:
+    """rows.mapInArrow(each) for columns of any names, dots included; each adds columns at the end."""
+    names, new = rows.columns, [f.name for f in added]
+    safe = rows.toDF(*[f"c{i}" for i in range(len(names))])
+    own = safe.columns
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in each(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=[*own, *new])
+
+    return safe.mapInArrow(run, StructType([*safe.schema.fields, *added])).toDF(*names, *new)
+
+
 def quoted(name: str) -> str:
     """A column's name for Spark, whatever characters it holds."""
     return "`" + name.replace("`", "``") + "`"
