@@ -144,30 +144,58 @@ def signed(rows: DataFrame, shingle: int = 5, tables: int = TABLES) -> DataFrame
     return rows.select(*keys, "text").mapInArrow(each, StructType([*kept, StructField("prints", ArrayType(LongType()))]))
 
 
-def candidates(prints: DataFrame, radius: int = 2) -> DataFrame:
-    """Pairs u > v of texts (u, prints) that are likely to be similar.
-
-    A table's equal fingerprints are one, whose texts are paired with the first
-    of them. Each distinct fingerprint emits all its variants within half the
-    radius, so a variant's bucket holds no more fingerprints than the ball has
-    variants; each is paired with the first there and the one before it. Work
-    grows with the texts and not with their pairs. Pairs whose fingerprints
-    together differ in too many bits go.
+def print_groups(prints: DataFrame, radius: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Texts (u, prints) by fingerprint, and fingerprints that are within the radius.
+
+    members: u, fp, the table and its fingerprint in one number. near: fp > other,
+    distinct fingerprints of a table: each emits all its variants within half
+    the radius, and two that are near meet at one. A variant's bucket holds no
+    more fingerprints than the ball has variants, and all of them are paired.
     """
     flips = [sum(1 << b for b in bits) for n in range(radius // 2 + 1) for bits in combinations(range(WIDTH), n)]
-    rows = prints.select("u", F.posexplode("prints").alias("table", "print"))
-    groups = cut(rows.groupBy("table", "print").agg(F.min("u").alias("v"), F.count("*").alias("n")), "prints")
-    same = rows.join(groups.where("n > 1").drop("n"), ["table", "print"]).where("u > v").select("u", "v")
-    spread = groups.select("v", "table", "print", F.explode(F.lit(flips)).alias("flip"))
-    spread = spread.select(F.col("v").alias("u"), (F.col("table").cast("long") * F.lit(1 << WIDTH) + F.col("print").bitwiseXOR(F.col("flip"))).alias("variant"))
-    bucket = Window.partitionBy("variant").orderBy("u")
-    met = spread.select("u", F.array_distinct(F.array(F.first("u").over(bucket), F.lag("u").over(bucket))).alias("vs"))
-    pairs = met.select("u", F.explode("vs").alias("v")).where("v < u").unionByName(same).distinct()
-    pairs = pairs.join(prints.select("u", F.col("prints").alias("a")), "u").join(prints.select(F.col("u").alias("v"), F.col("prints").alias("b")), "v")
+    members = prints.select("u", F.posexplode("prints").alias("table", "print"))
+    members = cut(members.select("u", (F.col("table").cast("long") * F.lit(1 << WIDTH) + F.col("print")).alias("fp")), "prints")
+    spread = members.select("fp").distinct().select("fp", F.explode(F.lit(flips)).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
+    met = spread.groupBy("variant").agg(F.sort_array(F.collect_list("fp")).alias("fps")).where(F.size("fps") > 1)
+    met = met.select("fps", F.posexplode("fps").alias("i", "fp")).select("fp", F.explode(F.slice("fps", 1, F.col("i"))).alias("other"))
+    return members, cut(met.distinct(), "near-prints")
+
+
+def plausible(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """The pairs (u, v) without those whose fingerprints together differ in too many bits."""
+    pairs = pairs.distinct().join(prints.select("u", F.col("prints").alias("a")), "u").join(prints.select(F.col("u").alias("v"), F.col("prints").alias("b")), "v")
     apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     return cut(pairs.where(apart * TABLES <= PLAUSIBLE * F.size("a")).select("u", "v"), "likely")
 
 
+def first_candidates(groups: tuple[DataFrame, DataFrame], prints: DataFrame) -> DataFrame:
+    """Likely pairs u > v that tie each text to the first of its fingerprint, and the first of a fingerprint to the first of the least near one."""
+    members, near = groups
+    firsts = members.groupBy("fp").agg(F.min("u").alias("v"))
+    same = members.join(firsts, "fp").where("u > v").select("u", "v")
+    least = near.groupBy("fp").agg(F.min("other").alias("other"))
+    ties = least.join(firsts.withColumnRenamed("v", "a"), "fp").join(firsts.select(F.col("fp").alias("other"), F.col("v").alias("b")), "other").where("a <> b")
+    return plausible(same.unionByName(ties.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), prints)
+
+
+def other_candidates(groups: tuple[DataFrame, DataFrame], prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """All likely pairs u > v of texts of the same or near fingerprints whose roots (u, root; others are their own) differ.
+
+    A group of copies that is one already gives no pair, so work grows with
+    what is not known to be alike.
+    """
+    members, near = groups
+    rooted = cut(members.join(roots, "u", "left").select("fp", "u", F.coalesce("root", "u").alias("root")), "rooted")
+    # only fingerprints with several roots have pairs to give, and only near ones of unlike roots
+    spans = cut(rooted.groupBy("fp").agg(F.min("root").alias("low"), F.max("root").alias("high")), "spans")
+    right = rooted.select(F.col("fp").alias("other"), F.col("u").alias("v"), F.col("root").alias("root_v"))
+    mixed = spans.where("low <> high").select("fp", F.col("fp").alias("other"))
+    wide = near.join(spans, "fp").join(spans.select(F.col("fp").alias("other"), F.col("low").alias("low_v"), F.col("high").alias("high_v")), "other")
+    wide = wide.where("low <> high OR low_v <> high_v OR low <> low_v").select("fp", "other")
+    pairs = mixed.unionByName(wide).join(rooted, "fp").join(right, "other").where("root <> root_v")
+    return plausible(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), prints)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The pairs (u, v) whose texts' sets of shingles are at least `similarity` alike, by exact comparison."""
 
@@ -190,11 +218,12 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int = 5, similarity: f
 def similar_pairs(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, tables: int = TABLES) -> DataFrame:
     """Links u > v between texts (u long, unique; text) at least `similarity` alike on sets of shingles (Jaccard).
 
-    candidates() finds pairs, verified() settles them; null texts and those
-    without words take no part.
+    Every pair of the same or near fingerprints of some table is settled by
+    verified(); null texts and those without words take no part.
     """
     prints = cut(signed(texts.select("u", "text"), shingle, tables).where("prints IS NOT NULL"), "signatures")
-    pairs = candidates(prints)
+    nothing = texts.limit(0).select("u", F.col("u").alias("root"))
+    pairs = other_candidates(print_groups(prints), prints, nothing)
     wanted = pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct()
     return verified(pairs, texts.join(wanted, "u", "left_semi"), shingle, similarity)
 
@@ -206,6 +235,9 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     `similarity` alike, are in one group; so are all texts without words, and
     null ones count among them. Of several rows with the same id and text one
     stays; a row with a null id stays only if its group has no other.
+
+    Texts are first tied to one of the same or a near fingerprint; then all pairs
+    of such texts are settled that those ties have not put in one group already.
     """
     # packed, so that no column of the documents can clash with ours; rows are named by their id and the digest of their text
     content = F.coalesce(F.col(quoted(text)), F.lit(""))
@@ -215,11 +247,18 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     # one row for each text, under a number that is drawn once; texts without words are one
     names = rows.groupBy(F.when(F.col("prints").isNotNull(), F.col("sha")).alias("name")).agg(F.min(F.struct("at", "sha")).alias("first"), F.max("prints").alias("prints"))
     names = cut(names.select("first.at", "first.sha", "prints", F.monotonically_increasing_id().alias("u")), "texts")
-    pairs = candidates(names.where("prints IS NOT NULL").select("u", "prints"))
-    wanted = pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct()
-    chosen = cut(names.join(wanted, "u").select("at", "sha", "u"), "chosen")
-    texts = packed.select("at", "sha", "text").join(chosen, ["at", "sha"]).dropDuplicates(["at", "sha"])
-    stars = components(verified(pairs, texts, shingle, similarity)).withColumnRenamed("node", "u")
+    prints = names.where("prints IS NOT NULL").select("u", "prints")
+
+    def settled(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct()
+        chosen = cut(names.join(wanted, "u").select("at", "sha", "u"), "chosen")
+        return cut(verified(pairs, packed.select("at", "sha", "text").join(chosen, ["at", "sha"]).dropDuplicates(["at", "sha"]), shingle, similarity), "links")
+
+    groups = print_groups(prints)
+    links = settled(first_candidates(groups, prints))
+    stars = cut(components(links), "stars")
+    more = settled(other_candidates(groups, prints, stars.select(F.col("node").alias("u"), "root")))
+    stars = components(links.unionByName(more)).withColumnRenamed("node", "u")
     rooted = names.join(stars, "u", "left").select(F.struct("at", "sha").alias("first"), F.coalesce("root", "u").alias("root"))
     kept = cut(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.at", "first.sha"), "kept")
     return packed.join(kept, ["at", "sha"], "left_semi").dropDuplicates(["at", "sha"]).select("row.*")

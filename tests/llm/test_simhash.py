@@ -147,3 +147,27 @@ def test_documents_left_of_each_group(spark):
     left = {r.doc_id for r in simhash.one_of_each(docs).collect()}
     want = {d for d in texts if names[d] == d}
     assert want <= left and len(left - want) <= 0.02 * (len(texts) - len(want))
+
+
+def test_all_pairs_of_near_fingerprints_are_settled(spark):
+    """Chains of texts that are alike to their neighbours only, under numbers in no order."""
+    rng, rows = random.Random(17), []
+    for _ in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        for _ in range(12):
+            rows.append(" ".join(words))
+            words = edited(rng, words, 2)
+    rng.shuffle(rows)
+    prints = [simhash.signature(simhash.shingle_hashes(t.encode(), 5)).view("<u4").tolist() for t in rows]
+    _, links = similar_groups(dict(enumerate(rows)))
+    apart = {(u, v): [(a ^ b).bit_count() for a, b in zip(prints[u], prints[v], strict=True)] for u, v in links}
+    want = {x for x, d in apart.items() if min(d) <= 2 and sum(d) <= simhash.PLAUSIBLE}
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {(r.u, r.v) for r in simhash.similar_pairs(df.withColumnRenamed("doc_id", "u")).collect()} == want
+    parent = dict.fromkeys(range(len(rows)))
+    find = lambda x: x if parent[x] is None else find(parent[x])
+    for u, v in want:
+        a, b = find(u), find(v)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    assert {r.doc_id for r in simhash.one_of_each(df).collect()} == {d for d in parent if parent[d] is None}
