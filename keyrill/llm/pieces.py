@@ -170,7 +170,7 @@ def chunk_table(docs: DataFrame, model: bytes, shipped: Broadcast) -> str:
     rows = docs.select("doc_id", "text").mapInArrow(_listed(shipped), "task int, chunk string")
     rows = rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_segmented(model, "task"), "task int, chunk string, ids binary")
     path = new_path(docs.sparkSession, "chunks")
-    rows.repartition("task").write.partitionBy("task").parquet(path)
+    rows.repartition("task").write.option("compression", "zstd").partitionBy("task").parquet(path)
     return path
 
 
