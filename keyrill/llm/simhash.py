@@ -144,20 +144,73 @@ def signed(rows: DataFrame, shingle: int = 5, tables: int = TABLES) -> DataFrame
     return rows.select(*keys, "text").mapInArrow(each, StructType([*kept, StructField("prints", ArrayType(LongType()))]))
 
 
-def print_groups(prints: DataFrame, radius: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Texts (u, prints) by fingerprint, and fingerprints that are within the radius.
+#: First bits of a fingerprint by which near ones are dealt out, and rows that are looked through together.
+PREFIX, TOGETHER = 8, 1 << 18
+
+
+def meetings(site: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs fp > other of different fingerprints that share a variant, with one bit of each flipped at most, at the sites.
+
+    A site is a table and the first PREFIX bits of a variant. Fingerprints that
+    have the site's first bits flip none or one of the others; the rest came
+    here by a flip of one of the first.
+    """
+    low = WIDTH - PREFIX
+    at_home = fps >> low == site
+    home, guests = fps[at_home], fps[~at_home]
+    variant = np.concatenate([(home[:, None] ^ np.append(0, 1 << np.arange(low))).reshape(-1), site[~at_home] << low | guests & (1 << low) - 1])
+    holder = np.concatenate([np.repeat(home, low + 1), guests])
+    order = np.argsort(variant)
+    variant, holder = variant[order], holder[order]
+    found, at, step = [(holder[:0], holder[:0])], np.arange(len(variant)), 0
+    # a variant has no more holders than its ball has members, so this ends soon
+    while len(at):
+        step += 1
+        at = at[at + step < len(variant)]
+        at = at[variant[at] == variant[at + step]]
+        found.append((holder[at], holder[at + step]))
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    return np.maximum(a, b), np.minimum(a, b)
+
+
+def _met(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """meetings() of whole sites; rows come sorted by site."""
+
+    def out(site: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        pairs = meetings(site, fps)
+        for at in range(0, len(pairs[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in pairs], ["fp", "other"])
+
+    held, rows, enough = [], 0, TOGETHER
+    for batch in batches:
+        held.append([batch.column(c).to_numpy() for c in ("site", "fp")])
+        rows += batch.num_rows
+        if rows >= enough:
+            site, fps = (np.concatenate(x) for x in zip(*held, strict=True))
+            # the last site may go on in the next batch
+            end = int(np.searchsorted(site, site[-1]))
+            yield from out(site[:end], fps[:end])
+            held, rows = [[site[end:], fps[end:]]], len(site) - end
+            enough = max(TOGETHER, 2 * rows)
+    if rows:
+        yield from out(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def print_groups(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts (u, prints) by fingerprint, and fingerprints that are within two bits.
 
     members: u, fp, the table and its fingerprint in one number. near: fp > other,
-    distinct fingerprints of a table: each emits all its variants within half
-    the radius, and two that are near meet at one. A variant's bucket holds no
-    more fingerprints than the ball has variants, and all of them are paired.
+    distinct fingerprints of a table that meet at a variant of each, with one
+    bit flipped at most. A fingerprint goes to the sites of its variants, one for
+    its own first bits and one for each of them flipped. Variants themselves are
+    made and put in order there, so they are no rows of a table and not shuffled.
     """
-    flips = [sum(1 << b for b in bits) for n in range(radius // 2 + 1) for bits in combinations(range(WIDTH), n)]
+    low = WIDTH - PREFIX
     members = prints.select("u", F.posexplode("prints").alias("table", "print"))
     members = cut(members.select("u", (F.col("table").cast("long") * F.lit(1 << WIDTH) + F.col("print")).alias("fp")), "prints")
-    spread = members.select("fp").distinct().select("fp", F.explode(F.lit(flips)).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
-    met = spread.groupBy("variant").agg(F.sort_array(F.collect_list("fp")).alias("fps")).where(F.size("fps") > 1)
-    met = met.select("fps", F.posexplode("fps").alias("i", "fp")).select("fp", F.explode(F.slice("fps", 1, F.col("i"))).alias("other"))
+    flips = F.explode(F.lit([0, *(1 << i for i in range(PREFIX))]))
+    spread = members.select("fp").distinct().select("fp", flips.alias("flip")).select(F.shiftright("fp", low).bitwiseXOR(F.col("flip").cast("long")).alias("site"), "fp")
+    met = spread.repartition("site").sortWithinPartitions("site").mapInArrow(_met, "fp long, other long")
     return members, cut(met.distinct(), "near-prints")
 
 

@@ -56,3 +56,16 @@ def test_lines_by_join_and_single_copies_keep_clashing_columns(spark):
     a, b = lines.remove_lines(docs, min_sites=2), lines.remove_lines(docs, min_sites=2, broadcast_lines=0)
     assert a.columns == b.columns and sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     assert simhash.one_of_each(docs).columns == docs.columns and simhash.one_of_each(docs).where("fp <> 'x' OR __kept <> 'x'").count() == 0
+
+
+def test_stages_pass_whole_texts_in_small_batches(spark):
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs, before = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 20"), spark.conf.get(size)
+    try:
+        for own, want in (("10000", "1000"), ("0", "1000"), ("300", "300")):
+            for _, stage in corpus_pipeline.STAGES[1:2]:
+                spark.conf.set(size, own)
+                assert stage(spark, docs, SF).columns == docs.columns
+                assert spark.conf.get(size) == want
+    finally:
+        spark.conf.set(size, before)

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -171,3 +172,26 @@ def test_all_pairs_of_near_fingerprints_are_settled(spark):
         if a != b:
             parent[max(a, b)] = min(a, b)
     assert {r.doc_id for r in simhash.one_of_each(df).collect()} == {d for d in parent if parent[d] is None}
+
+
+def test_near_fingerprints_equal_brute_force_at_any_cut(spark, monkeypatch):
+    """Sites that go on over many batches, and fingerprints that differ in first bits, others or both; variants are no rows."""
+    rng, fps = random.Random(23), set()
+    for table in (0, 3):
+        for _ in range(25):
+            base = rng.getrandbits(32)
+            for _ in range(20):
+                x = base
+                for _ in range(rng.randrange(5)):
+                    x ^= 1 << rng.randrange(32)
+                fps.add(table << 32 | x)
+    want = {(a, b) for a in fps for b in fps if a > b and a >> 32 == b >> 32 and (a ^ b).bit_count() <= 2}
+    rows = sorted((f >> 24 ^ flip, f) for f in fps for flip in (0, *(1 << i for i in range(8))))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + 97], strict=True)], ["site", "fp"]) for i in range(0, len(rows), 97)]
+    for together in (1, 500, simhash.TOGETHER):
+        monkeypatch.setattr(simhash, "TOGETHER", together)
+        assert {p for b in simhash._met(batches) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)} == want
+    assert list(simhash._met([])) == []
+    low = [f for f in fps if f >> 32 == 0]
+    _, near = simhash.print_groups(spark.createDataFrame([(i, [f]) for i, f in enumerate(low)], "u long, prints array<long>"))
+    assert sorted((r.fp, r.other) for r in near.collect()) == sorted(p for p in want if p[0] >> 32 == 0)
