@@ -34,6 +34,8 @@ CARRIED = 1024
 ROUNDS, RATE = 1, 0.02
 #: Tokens scored together, and steps whose states are held at once.
 TOKENS, STEPS = 3_000_000, 32
+#: States whose logits are held at once.
+ROWS = 8192
 #: Groups of words by their last byte, then by the hash of their last two.
 MARKS = b".,!|%#*$&"
 ENDINGS = 48
@@ -218,21 +220,26 @@ class Network:
     def log_probability(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithms."""
         order, classes = self.by_class(target)
-        h, slot, out = h[order], self.slot[target[order]], np.empty(len(target), h.dtype)
+        h, target, rows = h[order], target[order], np.arange(len(target))
         logits = h @ self.p["wc"]
         logits += self.p["bc"]
-        for c, a, b in classes:
-            out[a:b] = logits[a:b, c]
+        out = logits[rows, self.cls[target]]
         out -= self.log_total(logits)
-        for c, a, b in classes:
-            own = h[a:b] @ self.p["w"][c]
-            own += self.p["b"][c]
-            out[a:b] += own[np.arange(b - a), slot[a:b]]
-            out[a:b] -= self.log_total(own)
+        own = self.within(h, target, classes)
+        out += own[rows, self.slot[target]]
+        out -= self.log_total(own)
         back = np.empty_like(out)
         back[order] = out
         return back
 
+    def within(self, h: np.ndarray, target: np.ndarray, classes: list[tuple[int, int, int]]) -> np.ndarray:
+        """Logits of all symbols of the targets' classes; rows stand in order of the class."""
+        own = np.empty((len(h), CLASS), h.dtype)
+        for c, a, b in classes:
+            np.matmul(h[a:b], self.p["w"][c], out=own[a:b])
+        own += self.p["b"][self.cls[target]]
+        return own
+
     def log_total(self, logits: np.ndarray) -> np.ndarray:
         """Logarithms of the sums of exponentials; the logits are lost."""
         # states lie within -1 and 1 and weights are small: logits stay far below 80, where float32 would overflow
@@ -443,7 +450,9 @@ def score_symbols(net: Network, texts: list[np.ndarray], start: int) -> np.ndarr
             states.append(h.T)
             targets.append(last)
             owners.append(np.arange(live))
-        got = net.log_probability(np.concatenate(states), np.concatenate(targets))
+        h_all, t_all = np.concatenate(states), np.concatenate(targets)
+        # few enough rows at once that their logits stay in the processor's cache
+        got = np.concatenate([net.log_probability(h_all[i : i + ROWS], t_all[i : i + ROWS]) for i in range(0, len(t_all), ROWS)])
         out += np.bincount(np.concatenate(owners), got, len(out))
     back = np.empty(len(texts))
     back[order] = out / math.log(10)

@@ -139,3 +139,14 @@ def test_beats_bigrams_of_its_own_symbols(spark):
     unigram = lambda w: (one[w] + 0.5) / (n + 0.5 * v)
     bigram = sum(math.log10((two[a, w] + 50 * unigram(w)) / (before[a] + 50)) for t in texts[True] for a, w in zip([0, *t.tolist()], t.tolist()))  # noqa: B905
     assert lm.score_symbols(net, texts[True], 0).sum() > bigram
+
+
+def test_scores_do_not_hang_on_the_rows_whose_logits_are_held_at_once(monkeypatch):
+    rng = np.random.default_rng(7)
+    net = lm.Network(rng.integers(1, 999, 90))
+    texts = [rng.integers(0, 90, n).astype(np.int32) for n in (1, 70, 33, 5, 400)]
+    whole, held, real = lm.score_symbols(net, texts, 0), [], net.log_probability
+    monkeypatch.setattr(lm, "ROWS", 7)
+    monkeypatch.setattr(net, "log_probability", lambda h, t: held.append(len(t)) or real(h, t))
+    assert np.allclose(lm.score_symbols(net, texts, 0), whole, rtol=1e-5)
+    assert max(held) == 7 and sum(held) == sum(map(len, texts))
